@@ -1,0 +1,68 @@
+"""Ledger, budget, documents and uploads derived from the sample tables.
+
+The sample tables hold no ledger, so these views turn sales lines into one. Every view is
+a narrow map or a key join over whole tables and grows with them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LEDGER_COLUMNS = ("empresa", "periodo", "data", "tipo", "categoria", "fornecedor", "produto", "valor")
+
+# how a careless bookkeeper writes the six categories
+_WRITTEN = {
+    "STANDARD": "Mercadorias",
+    "SMALL": " ENERGIA ",
+    "MEDIUM": "Aluguel",
+    "LARGE": "folha",
+    "ECONOMY": "TRANSPORTE",
+    "PROMO": "Serviços",
+}
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def raw_ledger(spark: SparkSession, folder: str, columns: Collection[str] = LEDGER_COLUMNS) -> DataFrame:
+    """Sales lines as ledger rows. Only the tables behind the wanted columns are joined."""
+    line = table(spark, folder, "lineitem")
+    value = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    made = {
+        "periodo": F.year("l_shipdate"),
+        "data": F.col("l_shipdate").cast("date"),
+        "tipo": F.when(F.col("l_returnflag") == "R", "receita").otherwise("despesa"),
+        "valor": value.cast("decimal(18,2)"),
+    }
+    rows = line
+    if {"categoria", "produto"} & set(columns):
+        part = table(spark, folder, "part").select("p_partkey", "p_type", "p_name")
+        rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        written = F
+        for kind, text in _WRITTEN.items():
+            written = written.when(F.col("p_type") == kind, F.lit(text))
+        made |= {"categoria": written, "produto": F.col("p_name")}
+    if "fornecedor" in columns:
+        supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+        rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        made["fornecedor"] = F.col("s_name")
+    if "empresa" in columns:
+        orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+        customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+        owner = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        rows = rows.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+        made["empresa"] = F.col("c_mktsegment")
+    return rows.select(*[made[c].alias(c) for c in LEDGER_COLUMNS if c in columns])
+
+
+def budget_from(ledger: DataFrame, factor: str = "0.95") -> DataFrame:
+    """Limit of a year: the category spend of the year before, times a factor."""
+    spend = ledger.filter(F.col("tipo") == "despesa").groupBy(
+        "empresa", (F.col("periodo") + 1).alias("periodo"), "categoria"
+    )
+    limit = (F.sum("valor") * F.lit(factor).cast("decimal(4,2)")).cast("decimal(18,2)")
+    return spend.agg(limit.alias("limite"))
