@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import blank_to_null, drop_marks, has_any, lower_key, upper_collapsed, upper_key
+from ledgerloom.functions.text import bind, blank_to_null, has_any, lower_key, upper_collapsed, upper_key
 from ledgerloom.vocab import (
     EXPENSE_WORDS,
     LEDGER_CATEGORY_WORDS,
@@ -33,22 +33,23 @@ def first_group(text: Column, groups, default: str, whole_word: bool = False) ->
 def ledger_category(*texts: Column, whole_word: bool = False) -> Column:
     """Spend category from an account description and the path above it."""
     joined = F.concat_ws(" ", *[lower_key(t) for t in texts])
-    return first_group(joined, LEDGER_CATEGORY_WORDS, "outros", whole_word)
+    return bind(joined, lambda j: first_group(j, LEDGER_CATEGORY_WORDS, "outros", whole_word))
 
 
 def upload_category(text: Column, whole_word: bool = False) -> Column:
-    key = F.lower(upper_key(text))
     plain = tuple((name, tuple(w.lower() for w in words)) for name, words in UPLOAD_CATEGORY_WORDS)
     return F.when(
         blank_to_null(text).isNotNull(),
-        first_group(key, plain, UPLOAD_CATEGORY_DEFAULT, whole_word),
+        bind(F.lower(upper_key(text)), lambda k: first_group(k, plain, UPLOAD_CATEGORY_DEFAULT, whole_word)),
     )
 
 
 def supplier_category(name: Column) -> Column:
-    upper = upper_collapsed(name)
-    return F.when(upper.rlike(PERSON_PATTERN), F.lit(PERSON_CATEGORY)).otherwise(
-        first_group(upper, SUPPLIER_CATEGORY_WORDS, SUPPLIER_CATEGORY_DEFAULT)
+    return bind(
+        upper_collapsed(name),
+        lambda upper: F.when(upper.rlike(PERSON_PATTERN), F.lit(PERSON_CATEGORY)).otherwise(
+            first_group(upper, SUPPLIER_CATEGORY_WORDS, SUPPLIER_CATEGORY_DEFAULT)
+        ),
     )
 
 
@@ -58,18 +59,22 @@ def entry_type(description: Column, path: Column, nature: Column) -> Column:
     ``path`` joins the descriptions above the leaf. The order of the tests matters:
     an expense branch wins over a word that sounds like revenue.
     """
-    own = lower_key(description)
-    above = lower_key(path)
     entry = lambda kind, origin: F.struct(F.lit(kind).alias("tipo"), F.lit(origin).alias("origem"))
-    return (
-        F.when(has_any(own, STOCK_ROLLOVER_WORDS), None)
-        .when(has_any(above, EXPENSE_WORDS), F.when(nature == "D", entry("despesa", "resultado")))
-        .when(
-            above.rlike(REVENUE_PATTERN) | own.rlike(REVENUE_PATTERN),
-            F.when(
-                F.ltrim(description).startswith(REDUCER_PREFIX),
-                F.when(nature == "D", entry("despesa", "resultado")),
-            ).when(nature == "C", entry("receita", "resultado")),
+    keys = F.struct(lower_key(description).alias("own"), lower_key(path).alias("above"))
+
+    def decide(k: Column) -> Column:
+        own, above = k["own"], k["above"]
+        return (
+            F.when(has_any(own, STOCK_ROLLOVER_WORDS), None)
+            .when(has_any(above, EXPENSE_WORDS), F.when(nature == "D", entry("despesa", "resultado")))
+            .when(
+                above.rlike(REVENUE_PATTERN) | own.rlike(REVENUE_PATTERN),
+                F.when(
+                    F.ltrim(description).startswith(REDUCER_PREFIX),
+                    F.when(nature == "D", entry("despesa", "resultado")),
+                ).when(nature == "C", entry("receita", "resultado")),
+            )
+            .when(above.contains(PAYABLE_WORD), entry("despesa", "fornecedor_pagavel"))
         )
-        .when(above.contains(PAYABLE_WORD), entry("despesa", "fornecedor_pagavel"))
-    )
+
+    return bind(keys, decide)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import strip
+from ledgerloom.functions.text import bind, strip
 from ledgerloom.vocab import PERIOD_PATTERN
 
 
@@ -15,7 +15,10 @@ def _iso(text: Column, pattern: str, order: str) -> Column:
 
 def parse_date(c: Column) -> Column:
     """One of five written forms, else null. Two-digit years 69 to 99 belong to the 1900s."""
-    text = strip(c)
+    return bind(strip(c), _written_date)
+
+
+def _written_date(text: Column) -> Column:
     century = F.when(F.substring(text, 7, 2).try_cast("int") >= 69, "19").otherwise("20")
     short = F.when(
         text.rlike(r"^\d{2}/\d{2}/\d{2}$"),
@@ -33,7 +36,10 @@ def parse_date(c: Column) -> Column:
 
 def parse_entry_date(c: Column) -> Column:
     """Looser reading for ledger files: ISO first, then month first, then day first."""
-    text = strip(c)
+    return bind(strip(c), _entry_date)
+
+
+def _entry_date(text: Column) -> Column:
     day = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:[ T].*)?"
     padded = lambda g: F.lpad(F.regexp_extract(text, f"^{day}$", g), 2, "0")
     year = F.regexp_extract(text, f"^{day}$", 3)

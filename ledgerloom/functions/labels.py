@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,14 @@ def supplier_status(previous: Column, current: Column) -> Column:
         .when((current == 0) & (previous > 0), "Descontinuado")
         .otherwise("Ativo")
     )
+
+
+def fill(template: str, **values: Column) -> Column:
+    """Text of a template whose ``{name}`` marks are replaced by columns."""
+    parts = []
+    for piece in re.split(r"(\{\w+\})", template):
+        if piece.startswith("{") and piece[1:-1] in values:
+            parts.append(values[piece[1:-1]].cast("string"))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import SPACE, strip
+from ledgerloom.functions.text import SPACE, bind, strip
 from ledgerloom.vocab import MONEY_PATTERN, NATURE_PATTERN
 
 MONEY = "decimal(18,2)"
@@ -64,20 +64,26 @@ def parse_money(c: Column) -> Column:
     Parentheses or a leading or trailing minus make it negative. Text such as
     ``1.234.567`` keeps the last dot as the decimal one, hence three decimals.
     """
-    text = strip(c)
-    negative = text.startswith("(") | text.startswith("-") | text.endswith("-")
-    bare = F.regexp_replace(text, f"(?i)(?:[R$()]|{SPACE})", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, "[DCdc]$", ""), "-+$", "")
-    number = (
-        F.when(
-            bare.contains(",") & bare.contains("."),
-            F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")),
+
+    def number(bare: Column) -> Column:
+        return (
+            F.when(
+                bare.contains(",") & bare.contains("."),
+                F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")),
+            )
+            .when(bare.contains(","), F.replace(bare, F.lit(","), F.lit(".")))
+            .otherwise(F.regexp_replace(bare, r"\.(?=.*\.)", ""))
+            .try_cast("decimal(28,3)")
         )
-        .when(bare.contains(","), F.replace(bare, F.lit(","), F.lit(".")))
-        .otherwise(F.regexp_replace(bare, r"\.(?=.*\.)", ""))
-        .try_cast("decimal(28,3)")
-    )
-    return F.when(text.rlike(MONEY_PATTERN), F.when(negative, -F.abs(number)).otherwise(number))
+
+    def value(text: Column) -> Column:
+        bare = F.regexp_replace(text, f"(?i)(?:[R$()]|{SPACE})", "")
+        bare = F.regexp_replace(F.regexp_replace(bare, "[DCdc]$", ""), "-+$", "")
+        negative = text.startswith("(") | text.startswith("-") | text.endswith("-")
+        signed_value = bind(bind(bare, number), lambda n: F.when(negative, -F.abs(n)).otherwise(n))
+        return F.when(text.rlike(MONEY_PATTERN), signed_value)
+
+    return bind(strip(c), value)
 
 
 def nature_suffix(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -63,16 +64,12 @@ def _open_char(char: Column, several: dict[str, str]) -> Column:
     )
 
 
-def drop_marks(c: Column) -> Column:
-    """Letters without their accents; ligatures and other compatibility characters opened."""
-    source, target, several = _mark_tables()
-    # a table look-up per character is far cheaper than a regex class of a thousand members
-    opens = (F.translate(c, "".join(several), "") != c) | c.rlike(r"[\x{ac00}-\x{d7a3}]")
-    opened = F.when(
-        opens,
-        F.array_join(F.transform(F.split(c, ""), lambda ch: _open_char(ch, several)), ""),
-    ).otherwise(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(opened, source, target)).otherwise(c)
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` evaluated once, however often ``body`` names it.
+
+    Long expressions built from longer ones would otherwise be copied at every mention.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -88,9 +85,23 @@ def blank_to_null(c: Column) -> Column:
     return F.when(strip(c) != "", c)
 
 
+def drop_marks(c: Column) -> Column:
+    """Letters without their accents; ligatures and other compatibility characters opened."""
+    source, target, several = _mark_tables()
+
+    def plain(text: Column) -> Column:
+        # a table look-up per character is far cheaper than a regex class of a thousand members
+        opens = (F.translate(text, "".join(several), "") != text) | text.rlike(r"[\x{ac00}-\x{d7a3}]")
+        opened = F.array_join(F.transform(F.split(text, ""), lambda ch: _open_char(ch, several)), "")
+        return F.when(
+            text.rlike(r"[^\x00-\x7F]"), F.translate(F.when(opens, opened).otherwise(text), source, target)
+        ).otherwise(text)
+
+    return bind(c, plain)
+
+
 def category_key(c: Column) -> Column:
-    key = drop_marks(F.lower(strip(c)))
-    return F.coalesce(F.when(key != "", key), F.lit("outros"))
+    return F.coalesce(F.nullif(drop_marks(F.lower(strip(c))), F.lit("")), F.lit("outros"))
 
 
 def lower_key(c: Column) -> Column:
@@ -114,9 +125,8 @@ def clean_cell(c: Column) -> Column:
 
 
 def short_name(c: Column) -> Column:
-    name = strip(c)
-    cut = F.regexp_replace(F.substring(name, 1, 35), f"{SPACE}+$", "")
-    return F.when(F.length(name) <= 38, name).otherwise(F.concat(cut, F.lit("...")))
+    cut = lambda name: F.concat(F.regexp_replace(F.substring(name, 1, 35), f"{SPACE}+$", ""), F.lit("..."))
+    return bind(strip(c), lambda name: F.when(F.length(name) <= 38, name).otherwise(cut(name)))
 
 
 def quoted(words) -> str:

@@ -35,11 +35,11 @@ def profit_and_loss(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def spend_by_category(ledger: DataFrame, by: Sequence[str], value: str = "gasto") -> DataFrame:
+def spend_by_category(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
     """Spend of the expense rows. Categories without expenses stay, with a null spend, so that
     the keys of the ledger survive a ledger that holds revenue only."""
     return ledger.groupBy(*by, "categoria").agg(
-        F.sum(F.when(F.col("tipo") == "despesa", F.col("valor"))).alias(value)
+        F.sum(F.when(F.col("tipo") == "despesa", F.col("valor"))).alias("gasto")
     )
 
 
@@ -81,14 +81,19 @@ def variations(
     ``budget`` holds one limit per key and category; ``history`` is a ledger whose key
     columns name the period it is the reference of. None when there is nothing to compare.
     """
-    current = spend_by_category(ledger, by)
-    parts = []
+    limits = None
     if budget is not None:
-        limits = budget.select(*by, "categoria", F.col("limite").alias("referencia"))
-        parts.append(_compare(current, limits, by, "orcamento"))
-    if history is not None:
-        before = spend_by_category(history, by, "referencia")
-        parts.append(_compare(current, before, by, "historico"))
+        limits = budget.select(*by, "categoria", F.col("limite").alias("gasto"))
+    before = spend_by_category(history, by) if history is not None else None
+    return compare_spend(spend_by_category(ledger, by), by, limits, before)
+
+
+def compare_spend(
+    spend: DataFrame, by: Sequence[str], limits: DataFrame | None = None, before: DataFrame | None = None
+) -> DataFrame | None:
+    """Variations from spend tables that are already totalled per key and category."""
+    sides = [(base, side) for base, side in zip(BASES, (limits, before)) if side is not None]
+    parts = [_compare(spend, side.withColumnRenamed("gasto", "referencia"), by, base) for base, side in sides]
     if not parts:
         return None
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -28,6 +28,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: use all cores when a small table arrives in few pieces.
+    A table of many files already has its pieces and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_ledger(spark: SparkSession, folder: str, columns: Collection[str] = LEDGER_COLUMNS) -> DataFrame:
     """Sales lines as ledger rows. Only the tables behind the wanted columns are joined."""
     line = table(spark, folder, "lineitem")
@@ -59,10 +66,177 @@ def raw_ledger(spark: SparkSession, folder: str, columns: Collection[str] = LEDG
     return rows.select(*[made[c].alias(c) for c in LEDGER_COLUMNS if c in columns])
 
 
-def budget_from(ledger: DataFrame, factor: str = "0.95") -> DataFrame:
-    """Limit of a year: the category spend of the year before, times a factor."""
-    spend = ledger.filter(F.col("tipo") == "despesa").groupBy(
-        "empresa", (F.col("periodo") + 1).alias("periodo"), "categoria"
+# share of last year's spend that each category may cost this year
+BUDGET_SHARE = {
+    "mercadorias": "0.95", "energia": "0.80", "aluguel": "1.05",
+    "folha": "0.70", "transporte": "0.60", "servicos": "0.90",
+}
+
+
+def next_year(spend: DataFrame) -> DataFrame:
+    """Spend of a year as the reference of the year after."""
+    return spend.withColumn("periodo", F.col("periodo") + 1)
+
+
+def budget_from(spend: DataFrame) -> DataFrame:
+    """Limits of a year: the category spend of the year before, times the share."""
+    share = F
+    for category, text in BUDGET_SHARE.items():
+        share = share.when(F.col("categoria") == category, F.lit(text).cast("decimal(4,2)"))
+    limit = (F.col("gasto").cast("decimal(18,2)") * share).cast("decimal(18,2)")
+    return next_year(spend).withColumn("gasto", limit)
+
+
+# Names a supplier may carry, one for each spend category and two for none.
+TRADES = (
+    "INFORMATICA", "ADVOCACIA", "EDITORA", "PAPELARIA", "LOGISTICA", "PADARIA", "ENGENHARIA", "PUBLICIDADE",
+    "CLINICA", "SANEAMENTO", "LIMPEZA", "COMERCIAL", "PARTICIPACOES",
+)
+
+
+def _trade(number) -> F.Column:
+    return F.get(F.array(*[F.lit(t) for t in TRADES]), (number % len(TRADES)).cast("int"))
+
+
+def supplier_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """What each company moved with each supplier in a year, as supplier accounts."""
+    rows = raw_ledger(spark, folder, {"empresa", "periodo", "tipo", "valor", "fornecedor"})
+    sums = rows.groupBy("empresa", "periodo", "fornecedor").agg(
+        F.sum(F.when(F.col("tipo") == "despesa", F.col("valor")).otherwise(0)).cast("decimal(18,2)").alias("credito"),
+        F.sum(F.when(F.col("tipo") == "receita", F.col("valor")).otherwise(0)).cast("decimal(18,2)").alias("debito"),
+    )
+    key = F.regexp_extract("fornecedor", r"(\d+)$", 1).cast("bigint")
+    person = F.concat((key + 100000).cast("string"), F.lit(" MARIA DE SOUZA"))
+    company = F.concat(F.upper("fornecedor"), F.lit(" "), _trade(key))
+    return sums.select(
+        "empresa", "periodo", key.alias("seq"),
+        F.when(key % 14 == 13, person).otherwise(company).alias("nome"),
+        F.col("debito").alias("saldo_anterior"), "debito", "credito", F.col("credito").alias("saldo_em_aberto"),
+    )
+
+
+# -- trial-balance documents, one per order --------------------------------------------
+#
+# An order is a small company: its total is the revenue, fixed shares of it are the other
+# accounts, and cash closes the balance. Status decides the layout, priority and day decide
+# what is wrong with the document. All of it is arithmetic inside the order's own row.
+
+# amounts in cents from the order total `t`
+_SHARES = {
+    "capital": "t DIV 2",
+    "forn_um": "t DIV 6",
+    "forn_dois": "t DIV 9",
+    "estoque": "CASE WHEN tipo_doc = 'a_pagar' THEN t DIV 20 ELSE t DIV 3 END",
+    "imobilizado": "CASE WHEN tipo_doc = 'a_pagar' THEN t * 8 DIV 5 ELSE t DIV 10 END",
+    "icms": "t DIV 10",
+    "frete": "t DIV 20",
+    "energia": "t DIV 25",
+    "salarios": "t DIV 8",
+    "materia": "t DIV 4",
+}
+_HAS_SUPPLIERS = "tipo_doc <> 'patrimonial'"
+_HAS_RESULT = "tipo_doc IN ('completo', 'quebrado', 'desbalanceado')"
+
+# class, description, nature, part of the previous balance, amount, when present
+_CHART = (
+    ("1", "ATIVO", "D", "caixa DIV 4", "caixa + estoque + imobilizado", "true"),
+    ("1.1", "ATIVO CIRCULANTE", "D", "caixa DIV 4", "caixa + estoque", "true"),
+    ("1.1.1", "CAIXA GERAL", "D", "caixa DIV 4", "caixa", "true"),
+    ("1.1.2", "ESTOQUE DE MERCADORIAS", "D", "0", "estoque", "true"),
+    ("1.2", "IMOBILIZADO", "D", "0", "imobilizado", "true"),
+    ("2", "PASSIVO", "C", "0", "CASE WHEN {s} THEN forn_um + forn_dois ELSE 0 END + capital + sobra", "true"),
+    ("2.1", "PASSIVO CIRCULANTE", "C", "0", "forn_um + forn_dois", _HAS_SUPPLIERS),
+    ("2.1.1", "FORNECEDORES", "C", "0", "forn_um + forn_dois", _HAS_SUPPLIERS),
+    ("2.1.1.01", "nome_um", "C", "0", "forn_um", _HAS_SUPPLIERS),
+    ("2.1.1.02", "nome_dois", "C", "0", "forn_dois", _HAS_SUPPLIERS),
+    ("2.2", "PATRIMONIO LIQUIDO", "C", "0", "capital + sobra", "true"),
+    ("2.2.1", "CAPITAL SOCIAL", "C", "capital DIV 2", "capital + sobra", "true"),
+    ("3", "RESULTADO BRUTO", "C", "0", "t", _HAS_SUPPLIERS),
+    ("3.1", "RECEITA BRUTA", "C", "0", "t", _HAS_SUPPLIERS),
+    ("3.1.1", "RECEITA DE VENDA DE MERCADORIAS", "C", "0", "t", _HAS_SUPPLIERS),
+    ("4", "DESPESAS OPERACIONAIS", "D", "0", "frete + energia + salarios", _HAS_RESULT),
+    ("4.1", "FRETES SOBRE VENDAS", "D", "0", "frete", _HAS_RESULT),
+    ("4.2", "ENERGIA ELÉTRICA", "D", "0", "energia", _HAS_RESULT),
+    ("4.3", "SALÁRIOS E ORDENADOS", "D", "0", "salarios", _HAS_RESULT),
+    ("5", "CUSTOS DOS PRODUTOS VENDIDOS", "D", "0", "materia", _HAS_RESULT),
+    ("5.1", "MATERIA PRIMA", "D", "0", "materia", _HAS_RESULT),
+    ("5.2", "(-) ESTOQUE INICIAL", "D", "0", "t DIV 7", _HAS_RESULT + " AND o_orderstatus = 'P'"),
+    ("5.3", "(+) ESTOQUE FINAL", "C", "0", "t DIV 7", _HAS_RESULT + " AND o_orderstatus = 'P'"),
+    ("6", "DEDUCOES DA RECEITA BRUTA", "D", "0", "icms", _HAS_RESULT),
+    ("6.1", "(-) ICMS SOBRE VENDAS", "D", "0", "icms", _HAS_RESULT),
+)
+
+
+def _br(cents: str) -> str:
+    return f"translate(format_number(CAST({cents} AS DECIMAL(20,0)) * 0.01BD, 2), ',.', '.,')"
+
+
+def order_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with the kind of document and the account amounts they stand for."""
+    orders = spread(table(spark, folder, "orders"))
+    kind = F.expr(
+        """CASE o_orderpriority
+             WHEN '2-HIGH' THEN 'a_pagar'
+             WHEN '4-NOT SPECIFIED' THEN CASE WHEN day(o_orderdate) <= 2 THEN 'vazio' ELSE 'patrimonial' END
+             WHEN '3-MEDIUM' THEN CASE WHEN day(o_orderdate) <= 3 THEN 'quebrado'
+                                       WHEN day(o_orderdate) <= 6 THEN 'desbalanceado'
+                                       WHEN day(o_orderdate) <= 9 THEN 'layout'
+                                       WHEN day(o_orderdate) <= 12 THEN 'prosa' ELSE 'completo' END
+             ELSE 'completo' END"""
+    )
+    base = orders.select(
+        F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("dia"),
+        (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint").alias("t"), kind.alias("tipo_doc"),
+    )
+    parts = base.withColumns({name: F.expr(text) for name, text in _SHARES.items()})
+    credits = f"capital + CASE WHEN {_HAS_SUPPLIERS} THEN forn_um + forn_dois + t ELSE 0 END"
+    debits = f"estoque + imobilizado + CASE WHEN {_HAS_RESULT} THEN icms + frete + energia + salarios + materia ELSE 0 END"
+    return parts.withColumns(
+        {
+            "caixa": F.expr(f"{credits} - ({debits})"),
+            "sobra": F.expr("CASE WHEN tipo_doc = 'desbalanceado' THEN 500L ELSE 0L END"),
+            "nome_um": F.concat(F.lit("ALFA "), _trade(F.col("o_custkey")), F.lit(" LTDA")),
+            "nome_dois": F.concat(F.lit("BETA "), _trade(F.col("o_custkey") + 5), F.lit(" EIRELI")),
+        }
+    )
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Trial-balance texts (``doc_id``, ``texto``), one per order."""
+    companies = order_companies(spark, folder)
+    rows = []
+    for number, (code, name, nature, previous, amount, when) in enumerate(_CHART, start=1):
+        amount = amount.format(s=_HAS_SUPPLIERS)
+        title = name if name.startswith("nome_") else f"'{name}'"
+        # only the layout with natures for both balances can show a previous credit balance
+        before = previous if nature == "D" else f"CASE WHEN o_orderstatus = 'P' THEN {previous} ELSE 0 END"
+        broken = "+ CASE WHEN tipo_doc = 'quebrado' THEN 100 ELSE 0 END" if name.startswith("ESTOQUE DE") else ""
+        rows.append(
+            f"""CASE WHEN {when} THEN named_struct('codigo', '{number}', 'classe', '{code}', 'nome', {title},
+                'nat', '{nature}', 'ant', CAST({before} AS BIGINT), 'mov', CAST(({amount}) - ({before}) AS BIGINT),
+                'atual', CAST({amount} {broken} AS BIGINT)) END"""
+        )
+    debit = "CASE WHEN c.nat = 'D' THEN c.mov ELSE 0 END"
+    credit = "CASE WHEN c.nat = 'C' THEN c.mov ELSE 0 END"
+    line = f"""CASE o_orderstatus
+        WHEN 'F' THEN concat({_br('c.atual')}, c.nat, {_br(credit)}, {_br(debit)}, {_br('c.ant')}, c.codigo, ' ', c.nome)
+        WHEN 'O' THEN concat(c.codigo, ' ', c.nome, '  ', {_br('c.ant')}, '  ', {_br(debit)}, '  ', {_br(credit)}, '  ',
+                             {_br('c.atual')}, c.nat)
+        ELSE concat(c.codigo, ' ', c.classe, ' ', {_br('c.atual')}, c.nat, {_br('c.ant')},
+                    CASE WHEN c.ant <> 0 THEN c.nat ELSE '' END, ' ', {_br(debit)}, ' ', {_br(credit)}, c.nome) END"""
+    body = F.expr(f"array_join(transform(array_compact(array({', '.join(rows)})), c -> {line}), '\\n')")
+    customer = F.lpad(F.col("o_custkey").cast("string"), 8, "0")
+    head = F.concat(
+        F.lit("BALANCETE DE VERIFICACAO\nEmpresa: Cliente  "), customer, F.lit(" S.A.  Folha: 0001\nC.N.P.J.: "),
+        F.substring(customer, 1, 2), F.lit("."), F.substring(customer, 3, 3), F.lit("."),
+        F.substring(customer, 6, 3), F.lit("/0001-95\nPeríodo: 01/01/"), F.date_format("dia", "yyyy"), F.lit(" - "),
+        F.date_format("dia", "dd/MM/yyyy"), F.lit("\nEmitido em: "), F.date_format("dia", "dd/MM/yyyy"),
+        F.lit("\nSistema: Razonete Contabil\n"),
+    )
+    text = (
+        F.when(F.col("tipo_doc") == "vazio", "  .\n ")
+        .when(F.col("tipo_doc") == "prosa", "Ata da reuniao: nada foi decidido sobre o orcamento de 1.000,00 reais.")
+        .when(F.col("tipo_doc") == "layout", F.concat(head, F.lit("Caixa | 1.000,00 | D\nCapital | 1.000,00 | C")))
+        .otherwise(F.concat(head, body))
     )
-    limit = (F.sum("valor") * F.lit(factor).cast("decimal(4,2)")).cast("decimal(18,2)")
-    return spend.agg(limit.alias("limite"))
+    return companies.select("doc_id", text.alias("texto"))

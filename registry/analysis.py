@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import advice, contract, ranking, results
-from ledgerloom.plans.analysis import previous_period
-from ledgerloom.plans.inputs import budget_from, raw_ledger
+from ledgerloom.plans.inputs import budget_from, next_year, raw_ledger
 from registry.common import BY, FULL, LEDGER, SPEND, VARIATIONS, plain
 
 
@@ -21,8 +20,13 @@ def _slim(spark, folder, *columns) -> DataFrame:
 
 
 def _changes(spark, folder) -> DataFrame:
-    rows = _slim(spark, folder)
-    return results.variations(rows, BY, budget_from(rows), previous_period(rows))
+    return _compare(_slim(spark, folder))
+
+
+def _compare(rows: DataFrame) -> DataFrame:
+    """One pass over the ledger feeds the current, the budget and the history side."""
+    spend = results.spend_by_category(rows, BY)
+    return results.compare_spend(spend, BY, budget_from(spend), next_year(spend))
 
 
 def _alerts(spark, folder) -> DataFrame:
@@ -30,8 +34,8 @@ def _alerts(spark, folder) -> DataFrame:
 
 
 def budget_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _slim(spark, folder)
-    found = results.alerts(results.variations(rows, BY, budget_from(rows)))
+    spend = results.spend_by_category(_slim(spark, folder), BY)
+    found = results.alerts(results.compare_spend(spend, BY, limits=budget_from(spend)))
     return plain(
         found, *BY, "categoria", "severidade", "valor_atual", "valor_referencia", "variacao_percentual", "mensagem"
     )
@@ -77,13 +81,13 @@ _CHANGE_COLUMNS = [
 
 
 def variation_budget(spark, folder):
-    rows = _slim(spark, folder)
-    return plain(results.variations(rows, BY, budget=budget_from(rows)), *_CHANGE_COLUMNS)
+    spend = results.spend_by_category(_slim(spark, folder), BY)
+    return plain(results.compare_spend(spend, BY, limits=budget_from(spend)), *_CHANGE_COLUMNS)
 
 
 def variation_history(spark, folder):
-    rows = _slim(spark, folder)
-    return plain(results.variations(rows, BY, history=previous_period(rows)), *_CHANGE_COLUMNS)
+    spend = results.spend_by_category(_slim(spark, folder), BY)
+    return plain(results.compare_spend(spend, BY, before=next_year(spend)), *_CHANGE_COLUMNS)
 
 
 def alerts(spark, folder):
@@ -112,7 +116,7 @@ def severity_counts(spark, folder):
 
 def summary_cards(spark, folder):
     rows = _slim(spark, folder)
-    changes = results.variations(rows, BY, budget_from(rows), previous_period(rows))
+    changes = _compare(rows)
     cards = results.summary(rows, BY, changes, results.alerts(changes))
     return plain(
         cards.select(
@@ -130,7 +134,7 @@ def top_supplier(spark, folder):
 
 def recommendations(spark, folder):
     rows = _slim(spark, folder, "fornecedor")
-    found = results.alerts(results.variations(rows, BY, budget_from(rows), previous_period(rows)))
+    found = results.alerts(_compare(rows))
     return plain(advice.recommendations(found, BY, rows))
 
 

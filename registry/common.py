@@ -49,7 +49,10 @@ spend AS (
 chaves AS (SELECT DISTINCT empresa, periodo FROM ledger),
 budget AS (
   SELECT empresa, periodo + 1 AS periodo, categoria,
-         CAST(gasto * CAST(0.95 AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS referencia
+         CAST(gasto * CASE categoria WHEN 'mercadorias' THEN CAST(0.95 AS DECIMAL(4,2))
+           WHEN 'energia' THEN CAST(0.80 AS DECIMAL(4,2)) WHEN 'aluguel' THEN CAST(1.05 AS DECIMAL(4,2))
+           WHEN 'folha' THEN CAST(0.70 AS DECIMAL(4,2)) WHEN 'transporte' THEN CAST(0.60 AS DECIMAL(4,2))
+           WHEN 'servicos' THEN CAST(0.90 AS DECIMAL(4,2)) END AS DECIMAL(18,2)) AS referencia
   FROM spend
 ),
 history AS (SELECT empresa, periodo + 1 AS periodo, categoria, gasto AS referencia FROM spend)"""
