@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import br_cents
@@ -170,5 +170,14 @@ def parse(text: Column, layouts: Sequence[Layout]) -> Column:
     )
 
 
+def item_rows(df: DataFrame, by: Sequence[str], items: Column, *more: Column) -> DataFrame:
+    """One row per array item, as struct ``c``.
+
+    The outer form, because for the inner one the optimizer adds a filter on the array size
+    and evaluates everything behind the array a second time.
+    """
+    return df.select(*by, *more, F.explode_outer(items).alias("c")).filter(F.col("c").isNotNull())
+
+
 def money(cents: Column) -> Column:
     return (cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")

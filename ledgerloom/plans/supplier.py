@@ -12,7 +12,7 @@ from ledgerloom.functions.text import bind, has_any, upper_collapsed
 from ledgerloom.operators import suppliers as s
 from ledgerloom.operators.headers import supplier_header
 from ledgerloom.operators.indicators import base_indicators, derived_indicators
-from ledgerloom.operators.layouts import money, supplier_accounts
+from ledgerloom.operators.layouts import item_rows, money, supplier_accounts
 from ledgerloom.operators.rules import Facts, advise
 from ledgerloom.vocab import SECTION_END_WORDS, SECTION_WORD
 
@@ -56,8 +56,11 @@ def supplier_analysis(
 def read_supplier_documents(docs: DataFrame) -> DataFrame:
     """Supplier-report text to one row per document: header, ``contas`` and ``fornecedores``."""
     text = F.col("texto")
-    parsed = docs.withColumns(supplier_header(text)).withColumn("contas", supplier_accounts(text))
-    return parsed.withColumn("fornecedores", supplier_section(F.col("contas")))
+    read = bind(
+        supplier_accounts(text),
+        lambda accounts: F.struct(accounts.alias("contas"), supplier_section(accounts).alias("fornecedores")),
+    )
+    return docs.withColumns({**supplier_header(text), "_lido": read}).select("*", "_lido.*").drop("_lido")
 
 
 def supplier_section(accounts: Column) -> Column:
@@ -87,13 +90,13 @@ def supplier_section(accounts: Column) -> Column:
 
 
 def account_rows(documents: DataFrame, by: Sequence[str]) -> DataFrame:
-    rows = documents.select(*by, F.explode("contas").alias("c")).select(*by, "c.*")
+    rows = item_rows(documents, by, F.col("contas")).select(*by, "c.*")
     return rows.withColumns({a: money(F.col(a)) for a in ("saldo_anterior", "debito", "credito", "saldo_atual")})
 
 
 def supplier_rows(documents: DataFrame, by: Sequence[str]) -> DataFrame:
     c = F.col("c")
-    return documents.select(*by, F.explode("fornecedores").alias("c")).select(
+    return item_rows(documents, by, F.col("fornecedores")).select(
         *by,
         c["seq"].alias("seq"),
         c["codigo"].alias("codigo"),

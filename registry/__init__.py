@@ -1,8 +1,8 @@
 """Registered queries and the SQL each is checked against, by subject."""
 
-from registry import analysis
+from registry import analysis, documents, suppliers
 
-MODULES = (analysis,)
+MODULES = (analysis, suppliers, documents)
 
 
 def all_queries():
