@@ -240,3 +240,50 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(head, body))
     )
     return companies.select("doc_id", text.alias("texto"))
+
+
+# -- uploaded files, one per order -----------------------------------------------------
+
+_UPLOAD_HEADER = {
+    "F": ("Cód.", "Histórico", "Vlr.", "Data Movimento", "Filial"),
+    "O": ("codigo", "descricao", "valor", "data", "filial"),
+    "P": ("COD", "Conta Contábil", "Montante", "DT", "Filial"),
+}
+_UPLOAD_SEPARATOR = {"F": ";", "O": ",", "P": "|"}
+
+
+def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Small delimited files (``doc_id``, ``nome``, ``content``), one per order, in three
+    dialects and two encodings, with bad cells, a blank and a repeated row."""
+    orders = spread(table(spark, folder, "orders"))
+    cents = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
+    rows = orders.select(
+        F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date").alias("dia"),
+        cents.alias("t"),
+    )
+    br = lambda text: F.expr(_br(text))
+    day = F.date_format("dia", "dd/MM/yyyy")
+    third = F.when(F.col("o_orderpriority") == "1-URGENT", "Balancete da sede").otherwise("Aluguel da sede")
+    second = ("102", F.lit("Conta de luz  CPFL"), br("t DIV 10"), F.date_format("dia", "dd-MM-yyyy"), F.lit("matriz"))
+    table_rows = [
+        ("101", F.lit("Compra de mercadorias"), F.concat(F.lit("R$ "), br("t")), day, F.lit("matriz")),
+        second,
+        ("103", third, F.concat(F.lit("("), br("t DIV 5"), F.lit(")")), F.date_format("dia", "yyyy-MM-dd"), F.lit("loja")),
+        second,
+        ("", F.lit(""), F.lit(""), F.lit(""), F.lit(" ")),
+        ("104", F.lit("Folha de pagamento"), F.lit("abc"), F.lit("31/02/2020"), F.lit("loja")),
+        ("105", F.lit("Serviço avulso"), F.lit(""), F.lit(""), F.lit("")),
+    ]
+    content = F
+    for status, names in _UPLOAD_HEADER.items():
+        sep = _UPLOAD_SEPARATOR[status]
+        cell = (lambda c: F.concat(F.lit('"'), c, F.lit('"'))) if sep == "," else (lambda c: c)
+        lines = [F.lit(sep.join(names))]
+        lines += [
+            F.concat_ws(sep, F.lit(code), name, cell(value), date, branch) for code, name, value, date, branch in table_rows
+        ]
+        content = content.when(F.col("o_orderstatus") == status, F.concat_ws("\r\n" if status == "P" else "\n", *lines))
+    text = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("  \n ")).otherwise(content)
+    latin = F.col("o_orderpriority") == "5-LOW"
+    name = F.concat(F.lit("envio_"), F.col("doc_id").cast("string"), F.when(F.col("o_orderpriority") == "2-HIGH", ".doc").otherwise(".CSV"))
+    return rows.select("doc_id", name.alias("nome"), F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("content"))

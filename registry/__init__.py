@@ -1,8 +1,8 @@
 """Registered queries and the SQL each is checked against, by subject."""
 
-from registry import analysis, documents, suppliers
+from registry import analysis, documents, suppliers, uploads
 
-MODULES = (analysis, suppliers, documents)
+MODULES = (analysis, suppliers, documents, uploads)
 
 
 def all_queries():
