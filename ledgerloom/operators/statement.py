@@ -23,7 +23,9 @@ CODE_DESCRIPTION = (
     (r"^(.+?)\s+(\d+)$", 1, 2),
 )
 _AMOUNT = r"(?:\(?\-?\d[\d.,]*\)?)"
-AMOUNTS_AT_END = rf"^(.+?)\s+({_AMOUNT}?)\s*({_AMOUNT}?)\s*({_AMOUNT}?)\s*({_AMOUNT})\s*$"
+# the first form may cut one amount in two, because nothing has to stand between amounts
+AMOUNTS_AT_END_LEGACY = rf"^(.+?)\s+({_AMOUNT}?)\s*({_AMOUNT}?)\s*({_AMOUNT}?)\s*({_AMOUNT})\s*$"
+AMOUNTS_AT_END = rf"^(.+?)(?:\s+({_AMOUNT}))?(?:\s+({_AMOUNT}))?(?:\s+({_AMOUNT}))?\s+({_AMOUNT})\s*$"
 
 
 def _pattern(p: str) -> str:
@@ -45,8 +47,8 @@ def split_code(text: Column) -> Column:
     return bind(strip(text), read)
 
 
-def _amounts(line: Column) -> Column:
-    part = lambda g: F.regexp_extract(line, _pattern(AMOUNTS_AT_END), g)
+def _amounts(line: Column, form: str) -> Column:
+    part = lambda g: F.regexp_extract(line, _pattern(form), g)
     names = ("saldo_anterior", "debito", "credito", "saldo_atual")
     return bind(
         split_code(part(1)),
@@ -71,14 +73,15 @@ def read_line(line: Column, legacy_order: bool = False) -> Column:
             ),
         )
         coded = reduce(lambda a, b: a | b, [own.rlike(_pattern(p)) for p, _, _ in CODE_DESCRIPTION])
-        money_end = own.rlike(_pattern(AMOUNTS_AT_END))
+        form = AMOUNTS_AT_END_LEGACY if legacy_order else AMOUNTS_AT_END
+        money_end = own.rlike(_pattern(form))
         if legacy_order:
-            return F.when(F.length(own) >= 3, F.when(coded, plain_text).when(money_end, _amounts(own)))
+            return F.when(F.length(own) >= 3, F.when(coded, plain_text).when(money_end, _amounts(own, form)))
         # a bare number at the end is a code, not an amount, unless it carries cents
         cents = own.rlike(r",\d{2}\)?\s*$")
         return F.when(
             F.length(own) >= 3,
-            F.when(money_end & cents, _amounts(own)).when(coded, plain_text).when(money_end, _amounts(own)),
+            F.when(money_end & cents, _amounts(own, form)).when(coded, plain_text).when(money_end, _amounts(own, form)),
         )
 
     return bind(strip(line), read)

@@ -1,8 +1,8 @@
 """Registered queries and the SQL each is checked against, by subject."""
 
-from registry import analysis, documents, suppliers, uploads
+from registry import analysis, documents, scalars, statements, suppliers, uploads
 
-MODULES = (analysis, suppliers, documents, uploads)
+MODULES = (analysis, suppliers, documents, uploads, scalars, statements)
 
 
 def all_queries():
