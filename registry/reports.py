@@ -104,7 +104,10 @@ def corrections(spark, folder):
 
 def _analysis(spark, folder) -> Analysis:
     """The full analysis, with budget and history from the year before."""
-    rows = contract.validate_ledger(raw_ledger(spark, folder), "quarantine")
+    ensure_checkpoint_dir(spark)
+    wanted = ("empresa", "periodo", "data", "tipo", "categoria", "fornecedor", "valor")
+    # a stored ledger: the report reads it for every section, and would join it anew each time
+    rows = contract.validate_ledger(raw_ledger(spark, folder, wanted), "quarantine").checkpoint()
     spend = results.spend_by_category(rows, BY)
     changes = results.compare_spend(spend, BY, budget_from(spend), next_year(spend))
     found = results.alerts(changes)
