@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import nature_suffix, parse_money
-from ledgerloom.functions.text import SPACE, bind, lines, strip, upper_key
+from ledgerloom.functions.text import SPACE, bind, clean_cell, lines, strip, upper_key
 from ledgerloom.operators.layouts import item_rows
 from ledgerloom.operators.ranking import top_rows
 from ledgerloom.vocab import STANDARD_ACCOUNT_COLUMNS
@@ -131,8 +131,10 @@ def standard_rows(df: DataFrame, keep) -> DataFrame:
     """Table with alias-renamed text columns to the standard columns; rows with neither code
     nor description are dropped."""
     cells = {c: F.col(c) for c in df.columns if c in STANDARD_ACCOUNT_COLUMNS}
-    rows = df.select(*keep, standard_account(cells).alias("_c")).select(*keep, "_c.*")
-    return rows.filter((F.coalesce("descricao", F.lit("")) != "") | (F.coalesce("codigo", F.lit("")) != ""))
+    raw = lambda c: F.coalesce(cells.get(c, F.lit(None).cast("string")), F.lit(""))
+    # asked of the raw cells: a filter on the parsed ones would repeat the parsing
+    named = df.filter((raw("codigo") != "") | (clean_cell(raw("descricao")) != ""))
+    return named.select(*keep, standard_account(cells).alias("_c")).select(*keep, "_c.*")
 
 
 # -- layouts by document type ----------------------------------------------------------
