@@ -45,11 +45,13 @@ def _entry_date(text: Column) -> Column:
     year = F.regexp_extract(text, f"^{day}$", 3)
     month_first = F.concat_ws("-", year, padded(1), padded(2)).try_cast("date")
     day_first = F.concat_ws("-", year, padded(2), padded(1)).try_cast("date")
-    iso = F.regexp_replace(F.regexp_extract(text, r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})(?:[ T].*)?$", 1), "/", "-")
+    slashed = F.regexp_extract(text, r"^(\d{4}/\d{1,2}/\d{1,2})(?:[ T].*)?$", 1)
     packed = F.regexp_replace(F.regexp_extract(text, r"^(\d{8})$", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     return F.coalesce(
-        F.when(iso != "", iso).try_cast("date"),
+        # the usual case, without any pattern
+        F.when(F.substring(text, 5, 1) == "-", text.try_cast("date")),
         F.when(packed != "", packed).try_cast("date"),
+        F.when(slashed != "", F.replace(slashed, F.lit("/"), F.lit("-"))).try_cast("date"),
         F.when(year != "", F.coalesce(month_first, day_first)),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ledgerloom.vocab import CONTROL_CHARS
 
 # Unicode white space: Java's \s alone covers the ASCII part only.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NEWLINE = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 _HANGUL = range(0xAC00, 0xD7A4)
@@ -73,12 +74,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Inner white space to one blank, none at the ends."""
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -93,15 +94,17 @@ def drop_marks(c: Column) -> Column:
         # a table look-up per character is far cheaper than a regex class of a thousand members
         opens = (F.translate(text, "".join(several), "") != text) | text.rlike(r"[\x{ac00}-\x{d7a3}]")
         opened = F.array_join(F.transform(F.split(text, ""), lambda ch: _open_char(ch, several)), "")
+        # more bytes than characters: not plain ASCII
         return F.when(
-            text.rlike(r"[^\x00-\x7F]"), F.translate(F.when(opens, opened).otherwise(text), source, target)
+            F.octet_length(text) != F.length(text), F.translate(F.when(opens, opened).otherwise(text), source, target)
         ).otherwise(text)
 
     return bind(c, plain)
 
 
 def category_key(c: Column) -> Column:
-    return F.coalesce(F.nullif(drop_marks(F.lower(strip(c))), F.lit("")), F.lit("outros"))
+    key = bind(drop_marks(F.lower(strip(c))), lambda k: F.when(k != "", k))
+    return F.coalesce(key, F.lit("outros"))
 
 
 def lower_key(c: Column) -> Column:
@@ -135,8 +138,13 @@ def quoted(words) -> str:
 
 
 def has_any(c: Column, words, whole_word: bool = False) -> Column:
-    pattern = quoted(words)
-    return c.rlike(f"(?U)\\b(?:{pattern})\\b" if whole_word else pattern)
+    """One of the words is inside the text. Plain searches beat a regex of alternatives, which
+    tries every word at every letter."""
+    if whole_word:
+        return c.rlike(f"(?U)\\b(?:{quoted(words)})\\b")
+    # a word that contains another one of the list adds nothing
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in needed])
 
 
 def lines(text: Column) -> Column:

@@ -37,7 +37,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def raw_ledger(spark: SparkSession, folder: str, columns: Collection[str] = LEDGER_COLUMNS) -> DataFrame:
     """Sales lines as ledger rows. Only the tables behind the wanted columns are joined."""
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"))
     value = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
     made = {
         "periodo": F.year("l_shipdate"),

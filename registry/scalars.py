@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ledgerloom import vocab
 from ledgerloom.functions import classify, dates, labels, money, text
 from ledgerloom.operators import results
-from ledgerloom.plans.inputs import table
+from ledgerloom.plans.inputs import spread, table
 from registry.common import plain
 
 def _money_text(spark, folder):
     """Prices as people write them; the line number picks the way."""
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"))
     value = F.col("l_extendedprice").cast("decimal(18,2)")
     br = F.translate(F.format_number(value, 2), ",.", ".,")
     plain_text = value.cast("string")
@@ -26,7 +26,7 @@ def _money_text(spark, folder):
 
 
 def _date_text(spark, folder):
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"))
     flag = F.concat("l_returnflag", "l_linestatus")
     day = F.col("l_shipdate").cast("date")
     written = F
@@ -36,7 +36,7 @@ def _date_text(spark, folder):
 
 
 def text_keys(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     c = F.col("text")
     return docs.select(
         "doc_id", F.md5(text.upper_key(c)).alias("chave_maiuscula"), F.md5(text.lower_key(c)).alias("chave_minuscula"),
@@ -45,12 +45,12 @@ def text_keys(spark, folder):
 
 
 def page_keys(spark, folder):
-    pages = table(spark, folder, "pages")
+    pages = spread(table(spark, folder, "pages"))
     return pages.select("page_id", F.md5(text.lower_key(F.col("html"))).alias("chave"), F.md5(text.clean_cell(F.col("html"))).alias("celula"))
 
 
 def category_key(spark, folder):
-    rows = table(spark, folder, "conversations")
+    rows = spread(table(spark, folder, "conversations"))
     return rows.select("conv_id", "turn", F.md5(text.category_key(F.col("text"))).alias("categoria"))
 
 
@@ -83,18 +83,18 @@ def currency_text(spark, folder):
 
 
 def categorize_ledger(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", classify.ledger_category(F.col("text")).alias("categoria"))
+    return spread(table(spark, folder, "documents")).select("doc_id", classify.ledger_category(F.col("text")).alias("categoria"))
 
 
 def categorize_upload(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id", classify.upload_category(F.col("text")).alias("categoria"),
         classify.upload_category(F.col("text"), whole_word=True).alias("palavra_inteira"),
     )
 
 
 def categorize_supplier(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", classify.supplier_category(F.col("text")).alias("categoria"))
+    return spread(table(spark, folder, "conversations")).select("conv_id", "turn", classify.supplier_category(F.col("text")).alias("categoria"))
 
 
 def status_labels(spark, folder):
