@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.decontamination import OP6_SQL, op6_decontamination
 from ledgerloom.llm.packing import op9_packing
+from ledgerloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from ledgerloom.llm.token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+}
