@@ -76,7 +76,8 @@ def ordered(texts: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> lis
     total = texts.count()
     if not total:
         return list(rules)
-    sample = scratch.stored(counted(texts.sample(min(1.0, rows / total), seed=7).repartition(1)).where(~F.col("base_failed")), "rule-sample")
+    # stored before it is filtered: a filter on counts would move below the steps that they are made in, and repeat them
+    sample = scratch.stored(counted(texts.sample(min(1.0, rows / total), seed=7).repartition(1)), "rule-sample").where(~F.col("base_failed"))
     sample.agg(F.count("*")).collect()  # opens the files once, before anything is timed
     rates = []
     for rule in rules:
@@ -111,7 +112,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
@@ -121,7 +122,7 @@ c AS (
   SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, len(regexp_extract_all(text, '[A-Z]')) AS capitals,
-         len(regexp_extract_all(text, '!')) AS marks, len(list_filter(range(2, len(words) + 1), j -> words[j] = words[j - 1])) AS pairs
+         len(regexp_extract_all(text, '!')) AS marks, len(list_filter(range(2, len(words) + 1), lambda j: words[j] = words[j - 1])) AS pairs
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
