@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.decontamination import OP6_SQL, op6_decontamination
 from ledgerloom.llm.packing import op9_packing
 from ledgerloom.llm.quality_rules import OP5_SQL, op5_quality_rules
+from ledgerloom.llm.repeats import OP8_SQL, op8_repeats
 from ledgerloom.llm.token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
@@ -21,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op6_decontamination": OP6_SQL,
+    "op8_repeats": OP8_SQL,
 }
