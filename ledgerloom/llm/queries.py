@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.decontamination import OP6_SQL, op6_decontamination
 from ledgerloom.llm.jaccard_join import op1_jaccard_join
 from ledgerloom.llm.packing import op9_packing
+from ledgerloom.llm.quality_classifier import op4_quality_classifier
 from ledgerloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from ledgerloom.llm.repeats import OP8_SQL, op8_repeats
 from ledgerloom.llm.token_counts import op10_token_counts
+from ledgerloom.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op8_repeats": op8_repeats,
