@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.decontamination import OP6_SQL, op6_decontamination
 from ledgerloom.llm.jaccard_join import op1_jaccard_join
+from ledgerloom.llm.language_id import language_of_pages, op7_language_id
 from ledgerloom.llm.packing import op9_packing
 from ledgerloom.llm.quality_classifier import op4_quality_classifier
 from ledgerloom.llm.quality_rules import OP5_SQL, op5_quality_rules
@@ -21,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
+    "language_of_pages": language_of_pages,
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
