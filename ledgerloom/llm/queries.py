@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.decontamination import OP6_SQL, op6_decontamination
 from ledgerloom.llm.jaccard_join import op1_jaccard_join
 from ledgerloom.llm.language_id import language_of_pages, op7_language_id
+from ledgerloom.llm.mixing import op3_context_mixing
 from ledgerloom.llm.packing import op9_packing
 from ledgerloom.llm.quality_classifier import op4_quality_classifier
 from ledgerloom.llm.quality_rules import OP5_SQL, op5_quality_rules
@@ -19,6 +20,7 @@ from ledgerloom.llm.toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_toxicity": op2_toxicity,
+    "op3_context_mixing": op3_context_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
