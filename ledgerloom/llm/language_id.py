@@ -41,15 +41,15 @@ class TextModel:
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the sequences that hold a letter, and for each text the number of them before it."""
-    small = _CLASS[data].astype(np.uint32)
+    """Buckets of the sequences that hold a letter, with a space around each text, and for each text the number of them before it."""
+    small = np.insert(_CLASS[data], np.concatenate([offsets[:-1], offsets[1:]]), 32).astype(np.uint32)
+    offsets = offsets + 2 * np.arange(len(offsets))
     if len(small) < SPAN:
         return np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     code = (small[:-2] << np.uint32(16)) | (small[1:-1] << np.uint32(8)) | small[2:]
     ok = code != 0x202020
-    edge = offsets[1:-1]
-    for back in (1, 2):
-        cut = edge - back
+    for back in (1, 2):  # not over the ends of texts
+        cut = offsets[1:-1] - back
         ok[cut[(cut >= 0) & (cut < len(ok))]] = False
     at = np.flatnonzero(ok)
     bucket = ((code[at] * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
@@ -84,7 +84,7 @@ def learn_text(docs: DataFrame, text: str = "text", label: str = "lang", key: st
         share = F.create_map(*[x for r in sizes for x in (F.lit(r["label"]), F.lit(min(1.0, rows / len(sizes) / r["n"])))])
         draw = F.pmod(F.xxhash64("key", F.lit(21)), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000
         chosen = known.where(draw & F.col("label").isin(languages)) if total > rows else known.where(F.col("label").isin(languages))
-        counts = chosen.select("text", "label").mapInArrow(_counted(languages), "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        counts = chosen.select("text", "label").mapInArrow(words.frugal(_counted(languages)), "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
         np.add.at(table, (counts["bucket"].to_numpy(), counts["language"].to_numpy()), counts["n"].to_numpy())
     table[:, -1] = 1.0
     return TextModel(languages, np.log(table / table.sum(0)).astype(np.float32))
@@ -131,8 +131,8 @@ def _smoothed(rows: DataFrame, wider: DataFrame, by: list[str], to: list[str], w
 def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, domain: Column, suffix: Column, languages: list[str] | None = None) -> DataFrame:
     """docs with language, posterior and accepted.
 
-    The columns say where each piece of evidence stands; a null or unknown declaration and a null host
-    count as values of their own. A text without letters (also a null or empty one) is "und". accepted:
+    The columns say where each piece of evidence stands; a null or unknown declaration says nothing, a null
+    host counts as a host of its own. A text without letters (also a null or empty one) is "und". accepted:
     the language is known, is one of `languages` where these are given, and has a posterior of LEAST or
     more. Each row is judged by itself: rows with null or repeated keys alike. Columns of docs with these
     three names are replaced, all others pass through. An empty table gives an empty table.
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     rest = F.struct(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), known.alias("declared"), value(host).alias("host"), value(domain).alias("domain"), value(suffix).alias("suffix"))
     source = docs.select(text.alias("text"), rest.alias("rest"))
     kind = source.schema["rest"].dataType.simpleString()
-    scored = source.mapInArrow(_likely(model), f"likelihood array<double>, letters long, rest {kind}")
+    scored = source.mapInArrow(words.frugal(_likely(model)), f"likelihood array<double>, letters long, rest {kind}")
     start = [float(np.log((1 - UNKNOWN) / max(1, width - 1)))] * (width - 1) + [float(np.log(UNKNOWN))]
     shown = _softmax(F.zip_with("likelihood", F.array(*map(F.lit, start)), lambda x, y: x + y))
     narrow = scored.select("likelihood", "letters", *[F.col(f"rest.{c}").alias(c) for c in ("declared", "host", "domain", "suffix")], shown.alias("shown"))
@@ -159,6 +159,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     by_declared = {r["declared"]: np.array(r["n"]) for r in seen.groupBy("declared").agg(*_sums([], width)).collect()}  # a row a language at most
     given = np.array([by_declared.get(name, np.zeros(width)) for name in [*names, ""]]) + UNSEEN
     said = np.log(given / given.sum(0))
+    said[-1] = 0.0  # no declaration says nothing
     said = F.create_map(*[x for k, name in enumerate([*names, ""]) for x in (F.lit(name), F.array(*[F.lit(float(v)) for v in said[k]]))])
     wide = seen.select("suffix").distinct().withColumn("prior", F.array(*[F.lit(float(x)) for x in overall]))
     by_suffix = _smoothed(seen, wide, ["suffix"], ["suffix"], width, "prior")
