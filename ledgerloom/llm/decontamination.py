@@ -242,7 +242,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         # one block of items, of about BLOCK_BYTES
         rows = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         phrases = Phrases.of([(row["item"], row["text"]) for row in rows], size)
-        whole = whole.mapInArrow(_searched(names.index(text), names.index("spans"), names.index("items"), phrases), whole.schema)
+        whole = whole.mapInArrow(words.frugal(_searched(names.index(text), names.index("spans"), names.index("items"), phrases)), whole.schema)
     return whole
 
 
@@ -274,7 +274,7 @@ def _cut(text: int, spans: int):
 
 def decontaminated(found: DataFrame, text: str = "text") -> DataFrame:
     """What contamination() gives, with the texts cut at its spans: all of a text outside them stays as it is."""
-    return found.mapInArrow(_cut(found.columns.index(text), found.columns.index("spans")), found.schema)
+    return found.mapInArrow(words.frugal(_cut(found.columns.index(text), found.columns.index("spans"))), found.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,7 +227,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length int, doc_tokens long, ids binary"
-    pieces = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoded(vocabulary or tokens.vocabulary_path(), end, window), schema)
+    pieces = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(words.frugal(_encoded(vocabulary or tokens.vocabulary_path(), end, window)), schema)
     pieces = scratch.stored(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")), "pieces")
     groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = np.zeros(window + 1, np.int64)
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "doc_tokens", F.xxhash64("ids"))
     ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(groups, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("before") + F.col("own")).alias("rank"))
-    return ranked.mapInArrow(_placed(plan(histogram, window)), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(words.frugal(_placed(plan(histogram, window))), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(rows: DataFrame, seed: int = 5) -> Machine:
     """A machine from (text, n_chars, label), by stochastic gradients of the logistic loss with adaptive steps."""
-    got = rows.select("text", "n_chars", "label").mapInArrow(_examples, "buckets binary, numbers binary, shape binary, label int").toPandas()  # a bounded sample's hashed words
+    got = rows.select("text", "n_chars", "label").mapInArrow(words.frugal(_examples), "buckets binary, numbers binary, shape binary, label int").toPandas()  # a bounded sample's hashed words
     rng = np.random.default_rng(seed)
     size = BUCKETS + len(SHAPE)
     machine = Machine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, RANK)), np.zeros(len(SHAPE)), np.ones(len(SHAPE)))
@@ -180,7 +180,7 @@ def quality(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str =
     """
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _with_metadata(docs).alias("n_chars"))
-    return given.mapInArrow(_scored(machine), f"key {kind}, score double").withColumnRenamed("key", key)
+    return given.mapInArrow(words.frugal(_scored(machine)), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

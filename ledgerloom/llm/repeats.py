@@ -25,7 +25,9 @@ from ledgerloom.llm import packets, scratch, words
 
 WINDOW = 13
 #: Words that a task gathers before it sends them on; bounds its memory only.
-GATHERED = 1 << 22
+GATHERED = 1 << 20
+#: Texts that a task unpacks at a time.
+UNPACKED = 512
 #: What a row is; what is told about texts comes before them.
 PROBE, ANCHOR, CANDIDATE, REMOVED, TEXT = range(5)
 _FINGERPRINT, _ALIGNED, _SHARED = np.uint64((1 << 30) - 1), np.uint32(1 << 30), np.uint32(1 << 31)
@@ -121,14 +123,14 @@ def _anchors(partitions: int):
     return find
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(rows, texts, ids) of the rows of a batch that carry a text."""
-    names = batch.schema.names
-    rows = np.flatnonzero(batch.column(names.index("kind")).to_numpy(zero_copy_only=False) == TEXT)
-    unpack = zstandard.ZstdDecompressor().decompress
-    texts = batch.column(names.index("packed")).take(pa.array(rows)).to_pylist()
-    ids = batch.column(names.index("id")).take(pa.array(rows)).fill_null(0).to_numpy(zero_copy_only=False)
-    return rows, pa.array([None if x is None else unpack(x) for x in texts], pa.binary()), ids
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """(rows, texts, ids) of the rows of a batch that carry a text, some at a time."""
+    names, unpack = batch.schema.names, zstandard.ZstdDecompressor().decompress
+    whole = packets.only(batch, TEXT)
+    for low in range(0, whole.num_rows, UNPACKED):
+        rows = whole.slice(low, UNPACKED)
+        texts = [None if x is None else unpack(x) for x in rows.column(names.index("packed")).to_pylist()]
+        yield rows, pa.array(texts, pa.binary()), rows.column(names.index("id")).fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def _candidates(partitions: int, window: int):
@@ -150,11 +152,10 @@ def _candidates(partitions: int, window: int):
         known, held = None, []
         for batch in batches:
             told += packets.rows_of(batch, ANCHOR)
-            _, texts, ids = _texts(batch)
-            if len(texts) and known is None:  # packets come first
-                known = np.unique(_key(*packets.unpacked(told, np.uint32)))
-                told = []
-            for low, _, data, offsets in words.chunks(texts):
+            for low, data, offsets, ids in ((low, data, offsets, ids) for _, texts, ids in _texts(batch) for low, _, data, offsets in words.chunks(texts)):
+                if known is None:  # packets came first
+                    known = np.unique(_key(*packets.unpacked(told, np.uint32)))
+                    told = []
                 _, _, bounds, found = _hashed(data, offsets)
                 at = words.whole_runs(bounds, block)
                 row = np.searchsorted(bounds, at, "right") - 1
@@ -198,42 +199,40 @@ def _cut(window: int):
         known = None
         for batch in batches:
             told += packets.rows_of(batch, REMOVED)
-            rows, texts, ids = _texts(batch)
-            if not len(texts):
-                continue
-            if known is None:
-                known = np.unique(_key(*packets.unpacked(told, np.uint64)))
-                told = []
-            named = batch.column(batch.schema.names.index("named")).take(pa.array(rows)).to_numpy(zero_copy_only=False)
-            new, counts, removed = [], [], []
-            for low, high, data, offsets in words.chunks(texts):
-                starts, ends, bounds, found = _hashed(data, offsets)
-                at = words.whole_runs(bounds, window)
-                row = np.searchsorted(bounds, at, "right") - 1
-                at = at[_within(known, _key(ids[low + row], words.runs(found, window)[at])) & named[low + row]]
-                change = np.zeros(len(found) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + window, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(gone)])[bounds]
-                counts.append(np.diff(bounds))
-                removed.append(np.diff(total))
-                raw = data.tobytes()
-                for i in range(high - low):
-                    a, b = int(bounds[i]), int(bounds[i + 1])
-                    if total[i] == total[i + 1]:
-                        new.append(raw[offsets[i] : offsets[i + 1]])
-                        continue
-                    edge = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0))
-                    kept, place = [], int(offsets[i])
-                    for first, last in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        kept.append(raw[place : starts[a + first]])
-                        place = int(ends[a + last - 1])
-                    new.append(b"".join([*kept, raw[place : offsets[i + 1]]]))
-            flat = pa.array([x if valid else None for x, valid in zip(new, texts.is_valid().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
-            rest = batch.column(batch.schema.names.index("rest")).take(pa.array(rows))
-            sizes = [pa.array(np.concatenate(x), pa.int64()) for x in (counts, removed)]
-            yield pa.RecordBatch.from_arrays([flat, *sizes, rest], ["text", "n_words", "n_removed", "rest"])
+            for rows, texts, ids in _texts(batch):
+                if known is None:
+                    known = np.unique(_key(*packets.unpacked(told, np.uint64)))
+                    told = []
+                named = rows.column(rows.schema.names.index("named")).to_numpy(zero_copy_only=False)
+                new, counts, removed = [], [], []
+                for low, high, data, offsets in words.chunks(texts):
+                    starts, ends, bounds, found = _hashed(data, offsets)
+                    at = words.whole_runs(bounds, window)
+                    row = np.searchsorted(bounds, at, "right") - 1
+                    at = at[_within(known, _key(ids[low + row], words.runs(found, window)[at])) & named[low + row]]
+                    change = np.zeros(len(found) + 1, np.int64)
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + window, -1)
+                    gone = np.cumsum(change[:-1]) > 0
+                    total = np.concatenate([[0], np.cumsum(gone)])[bounds]
+                    counts.append(np.diff(bounds))
+                    removed.append(np.diff(total))
+                    raw = data.tobytes()
+                    for i in range(high - low):
+                        a, b = int(bounds[i]), int(bounds[i + 1])
+                        if total[i] == total[i + 1]:
+                            new.append(raw[offsets[i] : offsets[i + 1]])
+                            continue
+                        edge = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0))
+                        kept, place = [], int(offsets[i])
+                        for first, last in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                            kept.append(raw[place : starts[a + first]])
+                            place = int(ends[a + last - 1])
+                        new.append(b"".join([*kept, raw[place : offsets[i + 1]]]))
+                flat = pa.array([x if valid else None for x, valid in zip(new, texts.is_valid().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+                rest = rows.column(rows.schema.names.index("rest"))
+                sizes = [pa.array(np.concatenate(x), pa.int64()) for x in (counts, removed)]
+                yield pa.RecordBatch.from_arrays([flat, *sizes, rest], ["text", "n_words", "n_removed", "rest"])
 
     return cut
 
@@ -255,7 +254,7 @@ def _with_texts(told: DataFrame, docs: DataFrame, text: str, key: str, rest: Col
     """Texts and what is told about them, in the partition of their document; what is told stands first."""
     source = docs.select(F.col(text).alias("text"), F.col(key).cast("long").alias("id"), rest.alias("rest"))
     kind = source.schema["rest"].dataType.simpleString()
-    texts = source.mapInArrow(_compressed(partitions), f"target int, packed binary, id long, rest {kind}")
+    texts = source.mapInArrow(words.frugal(_compressed(partitions)), f"target int, packed binary, id long, rest {kind}")
     texts = texts.withColumns({"kind": F.lit(TEXT), "named": F.col("id").isNotNull(), **{c: F.lit(None).cast("binary") for c in packets.COLUMNS[2:]}})
     whole = told.withColumns({c: F.lit(None).cast(texts.schema[c].dataType) for c in ("packed", "id", "rest", "named")}).unionByName(texts)
     return whole.repartitionById(partitions, F.col("target")).sortWithinPartitions("kind")
@@ -277,13 +276,13 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     docs = docs.drop("n_words", "n_removed")
     others = [c for c in docs.columns if c != text]
     known = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-    told = known.mapInArrow(_probes(partitions, window), packets.SCHEMA)
-    told = told.repartitionById(partitions, F.col("target")).mapInArrow(_anchors(partitions), packets.SCHEMA)
-    told = _with_texts(told, docs.where(F.col(key).isNotNull()), text, key, F.lit(None).cast("int"), partitions).mapInArrow(_candidates(partitions, window), packets.SCHEMA)
-    told = told.repartitionById(partitions, F.col("target")).mapInArrow(_later(partitions), packets.SCHEMA)
+    told = known.mapInArrow(words.frugal(_probes(partitions, window)), packets.SCHEMA)
+    told = told.repartitionById(partitions, F.col("target")).mapInArrow(words.frugal(_anchors(partitions)), packets.SCHEMA)
+    told = _with_texts(told, docs.where(F.col(key).isNotNull()), text, key, F.lit(None).cast("int"), partitions).mapInArrow(words.frugal(_candidates(partitions, window)), packets.SCHEMA)
+    told = told.repartitionById(partitions, F.col("target")).mapInArrow(words.frugal(_later(partitions)), packets.SCHEMA)
     rest = F.struct(*[F.col(c) for c in others])
     kind = docs.select(rest.alias("rest")).schema["rest"].dataType.simpleString()
-    out = _with_texts(told, docs, text, key, rest, partitions).mapInArrow(_cut(window), f"text string, n_words long, n_removed long, rest {kind}")
+    out = _with_texts(told, docs, text, key, rest, partitions).mapInArrow(words.frugal(_cut(window)), f"text string, n_words long, n_removed long, rest {kind}")
     return out.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns], "n_words", "n_removed")
 
 

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import scratch, tokens
+from ledgerloom.llm import scratch, tokens, words
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 _SPACES = r"[\x09-\x0D\x20]+"
@@ -53,7 +53,7 @@ def fill_cache(docs: DataFrame, text: str, cache: str, vocabulary: str) -> None:
     misses = content.join(read_cache(spark, cache, tokenizer), "digest", "left_anti")
     # copies meet on their digest; each task keeps one of its own before the shuffle
     misses = misses.groupBy("digest").agg(F.first("content").alias("content"))
-    misses.mapInArrow(_counted(vocabulary), "digest binary, n_tokens long").select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    misses.mapInArrow(words.frugal(_counted(vocabulary)), "digest binary, n_tokens long").select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
 
 def token_counts(docs: DataFrame, cache: str, text: str = "text", vocabulary: str | None = None) -> DataFrame:

@@ -115,7 +115,7 @@ def learn_lexicon(rows: DataFrame) -> Grammar:
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     entries = _seed_entries()
     if clean and toxic:
-        seen = rows.select("text", "label").mapInArrow(_seen, "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        seen = rows.select("text", "label").mapInArrow(words.frugal(_seen), "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) - F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
         best = seen.where(F.col("toxic") >= SUPPORT).select("key", "toxic", odds.alias("odds")).where(F.col("odds") >= ODDS)
         for r in best.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "key").limit(LEXICON).collect():
@@ -202,7 +202,7 @@ def _measured(grammars: list[Grammar]):
 def learn(rows: DataFrame) -> Grammar:
     """A grammar from (text, label, half): the lexicon from all rows, the coefficients from rows that each half's lexicon has not seen."""
     halves = [learn_lexicon(rows.where(F.col("half") == half)) for half in (0, 1)]
-    seen = rows.select("text", "label", "half").mapInArrow(_measured(halves), "a double, b double, c double, d double, label int").toPandas()  # four numbers a row of the bounded sample
+    seen = rows.select("text", "label", "half").mapInArrow(words.frugal(_measured(halves)), "a double, b double, c double, d double, label int").toPandas()  # four numbers a row of the bounded sample
     x = np.column_stack([np.ones(len(seen)), seen[["a", "b", "c", "d"]].to_numpy(float)])
     grammar = learn_lexicon(rows)
     grammar.coefficients = fit(x, seen["label"].to_numpy(float))
@@ -225,7 +225,7 @@ def toxicity(docs: DataFrame, grammar: Grammar, key: str = "doc_id", text: str =
     are scored one by one; other columns are left out. An empty table gives an empty table.
     """
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_scored(grammar), f"key {kind}, score double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(words.frugal(_scored(grammar)), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,16 @@ hashed from the words' hashes. Nothing here loops over words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = (1 << 20) - 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -24,6 +26,20 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work, after which the worker hands freed memory back: it is reused by tasks that share the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where there is such a call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -58,7 +74,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
-    return _powers(1 << max(int(n).bit_length(), CHUNK_BYTES.bit_length() + 1))
+    return _powers(1 << max((int(n) - 1).bit_length(), CHUNK_BYTES.bit_length()))
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
