@@ -120,3 +120,6 @@ RULES = {
 }
 
 PRIORITY_ORDER = {"Alta": 0, "Média": 1, "Baixa": 2}
+
+# What stands for the names in rule 6; the names are rows, in any number
+NAMES_ELSEWHERE = "nomes na lista de fornecedores da categoria"

@@ -10,15 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.labels import fill
 from ledgerloom.functions.money import currency, fixed
-from ledgerloom.messages import PRIORITY_ORDER, RULES
+from ledgerloom.messages import NAMES_ELSEWHERE, PRIORITY_ORDER, RULES
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.operators.suppliers import MOVEMENT, category_members
 
-# A category with more suppliers than this is not spelled out in the sentence; its names
-# are the rows of `category_members`, which has no limit.
-NAMES_IN_TEXT = 500
-
-
 @dataclass(frozen=True)
 class Facts:
     """What the rules look at: per document, per supplier, per category and per change."""
@@ -84,23 +79,26 @@ def dominant_category(facts: Facts, by):
 
 
 def merge_category(facts: Facts, by):
-    several = facts.categories.filter(
-        (F.col("quantidade_fornecedores") >= 2) & ~F.col("categoria").startswith("Outros")
-    )
-    small = several.filter(F.col("quantidade_fornecedores") <= NAMES_IN_TEXT).select(*by, "categoria")
-    row = F.struct((-F.col(MOVEMENT)).alias("m"), F.col("seq").alias("s"), F.col("nome_curto").alias("n"))
-    names = (
-        facts.members.join(small, [*by, "categoria"], "left_semi")
-        .groupBy(*by, "categoria")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["n"]), ", ").alias("_nomes"))
-    )
-    rows = several.join(names, [*by, "categoria"], "left")
+    """The sentence counts the suppliers; their names are the rows of :func:`merge_names`."""
+    rows = _mergeable(facts)
     return _advice(
         rows, by, 6, -F.col("total"), categoria=F.col("categoria"), quantidade=F.col("quantidade_fornecedores"),
-        nomes=F.coalesce("_nomes", F.lit("nomes na lista de fornecedores da categoria")), total=currency(F.col("total")),
+        nomes=F.lit(NAMES_ELSEWHERE), total=currency(F.col("total")),
     )
 
 
+def _mergeable(facts: Facts) -> DataFrame:
+    return facts.categories.filter((F.col("quantidade_fornecedores") >= 2) & ~F.col("categoria").startswith("Outros"))
+
+
+def merge_names(facts: Facts, by: Sequence[str]) -> DataFrame:
+    """The suppliers that rule 6 speaks of, largest first, one row each in any number."""
+    by = list(by)
+    rows = facts.members.join(_mergeable(facts).select(*by, "categoria"), [*by, "categoria"], "left_semi")
+    placed = ranked(rows, [*by, "categoria"], [F.desc(MOVEMENT), F.asc("seq")], position="posicao")
+    return placed.select(*by, F.lit(6).alias("regra"), "categoria", "posicao", F.col("nome_curto").alias("nome"))
+
+
 def low_liquidity(facts: Facts, by):
     rows = facts.indicators.filter(F.col("liquidez_corrente") < 1)
     return _advice(rows, by, 7, liquidez=fixed(F.col("liquidez_corrente"), 2))
@@ -185,4 +183,4 @@ def ordered_advice(advice: DataFrame, by: Sequence[str]) -> DataFrame:
     return ranked(advice.withColumn("_lugar", place), by, order, position="ordem").drop("_lugar")
 
 
-__all__ = ["Facts", "NAMES_IN_TEXT", "RULE_SET", "advise", "category_members", "ordered_advice", "period_changes"]
+__all__ = ["Facts", "RULE_SET", "advise", "category_members", "merge_names", "ordered_advice", "period_changes"]

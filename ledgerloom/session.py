@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """Session for a single machine. On a cluster, submit with the cluster's own settings."""
+def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
+    """Session for a single machine, with a checkpoint folder of its own unless one is given. On a
+    cluster, submit with the cluster's own settings. Small tables are cut into pieces for all cores."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -18,6 +19,9 @@ def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: i
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.files.minPartitionNum", str(cores) if str(cores).isdigit() else "8")
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -25,18 +29,15 @@ def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: i
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for reliable checkpoints.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session that
-    names none gets a folder of its own.
-    """
+    """Have the folder that spark.checkpoint.dir names take the reliable checkpoints. Only a local
+    session that names none gets a folder of its own."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         configured = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
     sc.setCheckpointDir(configured)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import advice, contract, ranking, results
-from ledgerloom.plans.inputs import budget_from, next_year, raw_ledger
+from registry.inputs import budget_from, next_year, raw_ledger
 from registry.common import BY, FULL, LEDGER, SPEND, VARIATIONS, plain
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans.inputs import TRADES, _CHART, _HAS_RESULT, _HAS_SUPPLIERS, _SHARES
+from ledgerloom import vocab
+from registry.inputs import TRADES, _CHART, _HAS_RESULT, _HAS_SUPPLIERS, _SHARES
 
 
 def _sql(text: str) -> str:
@@ -53,32 +54,33 @@ acc AS (
   FROM acc0)"""
 
 LEAVES = f"""{ACCOUNTS},
-leaf AS (SELECT * FROM acc a WHERE NOT EXISTS (
-  SELECT 1 FROM acc b WHERE b.doc_id = a.doc_id AND starts_with(b.classe, a.classe || '.'))),
-above AS (SELECT l.doc_id, l.classe, string_agg(a.nome, ' > ' ORDER BY length(a.classe)) AS caminho
-  FROM leaf l JOIN acc a ON a.doc_id = l.doc_id AND starts_with(l.classe, a.classe || '.') GROUP BY ALL),
-folha AS (SELECT l.*, coalesce(caminho, '') AS caminho FROM leaf l LEFT JOIN above USING (doc_id, classe))"""
-
-_WORDS = {
-    "energia": "energia|eletrica|luz|cpfl|enel|cemig|light|eletropaulo|copel|coelba|celesc|energisa|equatorial|neoenergia|elektro",
-    "aluguel": "aluguel|condominio|locacao|arrendamento|imovel",
-    "folha": "salario|ordenado|folha|inss|fgts|vale.transporte|vale.alimentacao|vale.refeicao|pessoal|encargo|pro.labore|decimo terceiro|ferias|rescisao|beneficio|plano de saude",
-    "transporte": "transporte|frete|combustivel|logistica|pedagio|gasolina|diesel|etanol|seguro veicular|manutencao de veiculo|transportadora",
-    "servicos": "servico|contabil|manutencao|internet|telefonia|assessoria|consultoria|honorario|advocacia|juridico|software|licenca de uso|assinatura|tecnologia da informacao|terceirizado",
-    "impostos": "imposto|tributo|icms|iss|irpj|csll|pis|cofins|simples nacional|darf|taxa|multa fiscal",
-    "mercadorias": "mercadoria|compra|revenda|fornecedor|insumo|produto|materia prima|materia-prima|cmv",
-}
+cima AS MATERIALIZED (SELECT doc_id, classe, array_to_string(partes[1:k], '.') AS acima
+  FROM (SELECT doc_id, classe, partes, unnest(range(1, len(partes))) AS k
+        FROM (SELECT DISTINCT doc_id, classe, string_split(classe, '.') AS partes FROM acc))),
+pais AS MATERIALIZED (SELECT DISTINCT doc_id, acima AS classe FROM cima),
+leaf AS MATERIALIZED (SELECT * FROM acc ANTI JOIN pais USING (doc_id, classe)),
+above AS MATERIALIZED (SELECT c.doc_id, c.classe, string_agg(a.nome, ' > ' ORDER BY length(a.classe)) AS caminho
+  FROM cima c JOIN acc a ON a.doc_id = c.doc_id AND a.classe = c.acima GROUP BY ALL),
+folha AS MATERIALIZED (SELECT l.*, coalesce(caminho, '') AS caminho FROM leaf l LEFT JOIN above USING (doc_id, classe))"""
+
+
+def _either(words) -> str:
+    return "|".join(words)
+
+
 CATEGORY = (
-    "CASE " + " ".join(f"WHEN regexp_matches(texto, '{w}') THEN '{c}'" for c, w in _WORDS.items()) + " ELSE 'outros' END"
+    "CASE " + " ".join(f"WHEN regexp_matches(texto, '{_either(words)}') THEN '{name}'" for name, words in vocab.LEDGER_CATEGORY_WORDS) + " ELSE 'outros' END"
 )
+_EXPENSE = _either(vocab.EXPENSE_WORDS)
+_REVENUE = vocab.REVENUE_PATTERN.removeprefix("(?U)")
 
 ENTRIES = f"""{LEAVES},
 tipada AS (
   SELECT *, CASE
       WHEN regexp_matches(own, 'estoque inicial|estoque final') THEN NULL
-      WHEN regexp_matches(up, 'despesa|custo|cpv|cmv') THEN CASE WHEN nat = 'D' THEN 'despesa resultado' END
-      WHEN regexp_matches(up, '\\b(receita|venda|faturamento|servicos? prestados?)')
-        OR regexp_matches(own, '\\b(receita|venda|faturamento|servicos? prestados?)')
+      WHEN regexp_matches(up, '{_EXPENSE}') THEN CASE WHEN nat = 'D' THEN 'despesa resultado' END
+      WHEN regexp_matches(up, '{_REVENUE}')
+        OR regexp_matches(own, '{_REVENUE}')
         THEN CASE WHEN starts_with(nome, '(-)') THEN CASE WHEN nat = 'D' THEN 'despesa resultado' END
                   WHEN nat = 'C' THEN 'receita resultado' END
       WHEN contains(up, 'fornecedor') THEN 'despesa fornecedor_pagavel' END AS tipo_origem,

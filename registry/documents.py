@@ -8,7 +8,7 @@ from ledgerloom.functions.dates import period_end
 from ledgerloom.operators import headers, hierarchy
 from ledgerloom.operators.layouts import item_rows, money
 from ledgerloom.operators.results import profit_and_loss
-from ledgerloom.plans.inputs import documents
+from registry.inputs import documents
 from ledgerloom.plans.trial_balance import build_trees, classify_documents, parse_documents, read_trial_balance
 from ledgerloom.session import ensure_checkpoint_dir
 from registry.common import plain

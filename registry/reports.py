@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import as_money
 from ledgerloom.operators import contract, filters, reports, results
 from ledgerloom.plans.analysis import Analysis
-from ledgerloom.plans.inputs import budget_from, documents, next_year, raw_ledger, spread, table, uploads
+from registry.inputs import budget_from, documents, next_year, raw_ledger, table, uploads
 from ledgerloom.plans.supplier import account_rows, read_supplier_documents, supplier_analysis, supplier_rows
 from ledgerloom.plans.upload import prepare
 from ledgerloom.session import ensure_checkpoint_dir
@@ -17,7 +17,7 @@ from registry.suppliers_sql import IND, _DOC_CON, _DOC_RULES
 
 def _dirty_ledger(spark, folder):
     """Sales lines as a ledger file full of mistakes."""
-    line = spread(table(spark, folder, "lineitem"))
+    line = table(spark, folder, "lineitem")
     n, day = F.col("l_linenumber"), F.col("l_shipdate").cast("date")
     return line.select(
         F.col("l_returnflag").alias("empresa"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import cleaning, columns, quality, statement, typing
-from ledgerloom.plans.inputs import documents, spread, table
+from registry.inputs import documents, table
 from registry.common import plain
 
 
@@ -120,7 +120,7 @@ def table_quality(spark, folder):
 
 
 def text_columns(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select("doc_id", F.col("text").alias("texto"))
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("texto"))
     cells = statement.text_columns(docs, ["doc_id"])
     return cells.groupBy("doc_id", "coluna").agg(
         F.count(F.lit(1)).alias("celulas"), F.sum(F.length("valor")).alias("letras"), F.max("valor").alias("maior")

@@ -9,7 +9,7 @@ from ledgerloom.operators import indicators as ind
 from ledgerloom.operators import rules
 from ledgerloom.operators import suppliers as s
 from ledgerloom.operators.ranking import top_rows
-from ledgerloom.plans.inputs import documents, supplier_ledger
+from registry.inputs import documents, supplier_ledger
 from ledgerloom.plans.supplier import account_rows, read_supplier_documents, supplier_analysis, supplier_rows
 from ledgerloom.session import ensure_checkpoint_dir
 from registry.common import BY, LEDGER, plain
@@ -82,18 +82,37 @@ def period_advice(spark, folder):
     return rules.period_changes(facts, ["empresa"]).select("empresa", "titulo", "descricao", "prioridade", "regra")
 
 
-def ledger_advice(spark, folder):
-    """Concentration and category advice of every company and year."""
-    rows = supplier_ledger(spark, folder)
-    facts = rules.Facts(
+_LEDGER_RULES = (
+    rules.single_supplier, rules.top_three, rules.high_index, rules.few_suppliers, rules.dominant_category,
+    rules.merge_category, rules.no_suppliers, rules.good_practice,
+)
+
+
+def _ledger_facts(spark, folder):
+    """What the rules look at, by company and year: the ledger is summed by supplier once and stored."""
+    ensure_checkpoint_dir(spark)
+    rows = supplier_ledger(spark, folder).checkpoint()
+    return rules.Facts(
         documents=rows.select(*BY).distinct(), concentration=s.concentration(rows, BY),
         categories=s.category_summary(rows, BY), members=s.category_members(rows, BY), indicators=None,
     )
-    picked = [
-        rules.single_supplier, rules.top_three, rules.high_index, rules.few_suppliers, rules.dominant_category,
-        rules.merge_category, rules.no_suppliers, rules.good_practice,
-    ]
-    return rules.advise(facts, BY, picked).select(*BY, "titulo", "descricao", "prioridade", "categoria", "regra")
+
+
+def ledger_advice(spark, folder):
+    """Concentration and category advice of every company and year."""
+    advice = rules.advise(_ledger_facts(spark, folder), BY, _LEDGER_RULES)
+    return advice.select(*BY, "titulo", "descricao", "prioridade", "categoria", "regra")
+
+
+def advice_names(spark, folder):
+    """The suppliers behind the advice to merge a category."""
+    return rules.merge_names(_ledger_facts(spark, folder), BY)
+
+
+def advice_order(spark, folder):
+    """The advice of every company and year in reading order."""
+    advice = rules.ordered_advice(rules.advise(_ledger_facts(spark, folder), BY, _LEDGER_RULES), BY)
+    return advice.select(*BY, "titulo", "regra", "ordem")
 
 
 def _read(spark, folder):
@@ -157,6 +176,8 @@ QUERIES = {
     "chart_categories": chart_categories,
     "period_advice": period_advice,
     "ledger_advice": ledger_advice,
+    "advice_names": advice_names,
+    "advice_order": advice_order,
     "supplier_header": supplier_header,
     "supplier_lines": supplier_lines,
     "supplier_section": supplier_section,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.messages import RULES
-from ledgerloom.plans.inputs import TRADES
+from ledgerloom.messages import NAMES_ELSEWHERE, RULES
+from registry.inputs import TRADES
 from registry.common import LEDGER
 from registry.docs_sql import SUPPLIERS
 
@@ -48,8 +48,7 @@ con AS (SELECT t.*, CAST(quad AS DOUBLE) / (CAST(total AS DOUBLE) * CAST(total A
     CAST(m1 AS DOUBLE) / CAST(total AS DOUBLE) * 100 AS p1, CAST(m3 AS DOUBLE) / CAST(total AS DOUBLE) * 100 AS p3, n1, n3
   FROM tot t JOIN (SELECT empresa, periodo, max(mov) AS m1, sum(mov) AS m3, max(CASE WHEN ranking = 1 THEN nome_curto END) AS n1,
     string_agg(nome_curto, ', ' ORDER BY ranking) AS n3 FROM rk WHERE ranking <= 3 GROUP BY ALL) USING (empresa, periodo)),
-cat AS (SELECT empresa, periodo, categoria, sum(mov) AS total, count(*) AS quantidade_fornecedores,
-    string_agg(nome_curto, ', ' ORDER BY mov DESC, seq) AS nomes FROM sup GROUP BY ALL),
+cat AS (SELECT empresa, periodo, categoria, sum(mov) AS total, count(*) AS quantidade_fornecedores FROM sup GROUP BY ALL),
 catp AS (SELECT *, CAST(total AS DOUBLE) / CAST(sum(total) OVER (PARTITION BY empresa, periodo) AS DOUBLE) * 100 AS pct FROM cat)"""
 
 PERIODS = """, per AS (SELECT empresa, periodo, row_number() OVER (PARTITION BY empresa ORDER BY periodo DESC) AS ordem
@@ -75,12 +74,12 @@ def _fill(text: str, **values: str) -> str:
     return out
 
 
-def _rule(number: int, keys: str, source: str, **values: str) -> str:
+def _rule(number: int, keys: str, source: str, order: str = "0", **values: str) -> str:
     priority, subject, title, text = RULES[number]
     return (
         f"SELECT {keys}, {_fill(title, **values)} AS titulo, {_fill(text, **values)} AS descricao, "
         f"'{priority}' AS prioridade, '{subject}' AS categoria, "
-        f"{({'Alta': 0, 'Média': 1, 'Baixa': 2})[priority]} AS peso, {number} AS regra FROM {source}"
+        f"{({'Alta': 0, 'Média': 1, 'Baixa': 2})[priority]} AS peso, {number} AS regra, CAST({order} AS DOUBLE) AS na_regra FROM {source}"
     )
 
 
@@ -95,7 +94,7 @@ def _concentration_rules(keys: str, con: str, cat: str, everyone: str) -> list[s
         _rule(5, keys, f"{top} WHERE pct >= 50 AND NOT starts_with(categoria, 'Outros')", categoria="categoria",
               percentual="printf('%.1f', pct)", quantidade="CAST(quantidade_fornecedores AS VARCHAR)"),
         _rule(6, keys, f"{cat} WHERE quantidade_fornecedores >= 2 AND NOT starts_with(categoria, 'Outros')",
-              categoria="categoria", quantidade="CAST(quantidade_fornecedores AS VARCHAR)", nomes="nomes",
+              categoria="categoria", quantidade="CAST(quantidade_fornecedores AS VARCHAR)", nomes=f"'{NAMES_ELSEWHERE}'", order="-total",
               total=_brl("CAST(total AS DOUBLE)")),
         _rule(12, keys, f"{everyone} e WHERE NOT EXISTS (SELECT 1 FROM {con} c WHERE "
               + " AND ".join(f"c.{k.strip()} = e.{k.strip()}" for k in keys.split(",")) + ")"),
@@ -133,8 +132,7 @@ con AS (SELECT doc_id, n, m1 / total * 100 AS p1, m3 / total * 100 AS p3, n1, n3
   SELECT doc_id, count(*) AS n, CAST(sum(mov) / 100 AS DOUBLE) AS total, CAST(max(mov) / 100 AS DOUBLE) AS m1,
     CAST(sum(mov) / 100 AS DOUBLE) AS m3, CAST(CAST(sum(CAST(mov AS HUGEINT) * mov) AS DOUBLE) / 10000 AS DOUBLE) AS quad,
     first(nome_curto ORDER BY mov DESC, seq) AS n1, string_agg(nome_curto, ', ' ORDER BY mov DESC, seq) AS n3 FROM f GROUP BY ALL)),
-cat AS (SELECT doc_id, categoria, CAST(sum(mov) / 100 AS DOUBLE) AS total, count(*) AS quantidade_fornecedores,
-  string_agg(nome_curto, ', ' ORDER BY mov DESC, seq) AS nomes FROM f GROUP BY ALL),
+cat AS (SELECT doc_id, categoria, CAST(sum(mov) / 100 AS DOUBLE) AS total, count(*) AS quantidade_fornecedores FROM f GROUP BY ALL),
 catp AS (SELECT *, total / CAST(sum(CAST(total AS DECIMAL(18,2))) OVER (PARTITION BY doc_id) AS DOUBLE) * 100 AS pct FROM cat)"""
 
 _DOC_RULES = " UNION ALL ".join(
@@ -184,6 +182,12 @@ WHERE posicao <= 10""",
     "period_advice": f"{SUP}{PERIODS} SELECT empresa, titulo, descricao, prioridade, regra FROM ({_PERIOD_RULES})",
     "ledger_advice": f"""{SUP} SELECT empresa, periodo, titulo, descricao, prioridade, categoria, regra FROM (
   {' UNION ALL '.join(_concentration_rules('empresa, periodo', 'con', 'catp', 'tot'))})""",
+    "advice_names": f"""{SUP} SELECT empresa, periodo, 6 AS regra, categoria, row_number() OVER (PARTITION BY empresa, periodo, categoria
+    ORDER BY mov DESC, seq) AS posicao, nome_curto AS nome FROM sup WHERE NOT starts_with(categoria, 'Outros')
+  QUALIFY count(*) OVER (PARTITION BY empresa, periodo, categoria) >= 2""",
+    "advice_order": f"""{SUP} SELECT empresa, periodo, titulo, regra, row_number() OVER (PARTITION BY empresa, periodo
+    ORDER BY peso, least(regra, 14), na_regra, titulo) AS ordem
+  FROM ({' UNION ALL '.join(_concentration_rules('empresa, periodo', 'con', 'catp', 'tot'))})""",
     "supplier_header": f"""WITH {SUPPLIERS} SELECT doc_id,
   CASE WHEN {_HEADED} THEN 'Cliente ' || {_KEY} || ' S.A.' ELSE 'Empresa não identificada' END AS nome,
   CASE WHEN {_HEADED} THEN substr({_KEY}, 1, 2) || '.' || substr({_KEY}, 3, 3) || '.' || substr({_KEY}, 6, 3) || '/0001-95' ELSE '' END AS cnpj,

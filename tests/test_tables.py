@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CLASSED_TEXT, base_text, natural_line
+from conftest import WORKSHOP_TEXT, shop_text
 from ledgerloom import prepare, read_supplier_documents, supplier_analysis
 from ledgerloom.functions import money
 from ledgerloom.functions.dates import parse_date, parse_entry_date
@@ -149,10 +149,11 @@ def test_concentration_and_periods(spark):
 
 def test_supplier_documents(spark):
     # a supplier that is itself called FORNECEDOR counts as a heading
-    docs = spark.createDataFrame([("a", base_text(natural_line)), ("b", CLASSED_TEXT)], "doc_id string, texto string")
+    headings = shop_text("natural").replace("TECELAGEM", "FORNECEDOR").replace("AVIAMENTOS", "FORNECEDOR")
+    docs = spark.createDataFrame([("a", headings), ("b", WORKSHOP_TEXT)], "doc_id string, texto string")
     read = read_supplier_documents(docs)
-    assert supplier_rows(read, ["doc_id"]).count() == 0
-    renamed = base_text(natural_line).replace("FORNECEDOR TESTE UM", "ALFA INFORMATICA").replace("FORNECEDOR TESTE DOIS", "BETA")
+    assert supplier_rows(read, ["doc_id"]).filter("nome like 'FORNECEDOR%'").count() == 0
+    renamed = shop_text("natural").replace("TECELAGEM AURORA", "ALFA INFORMATICA").replace("AVIAMENTOS SERRANA", "BETA")
     read = read_supplier_documents(spark.createDataFrame([("a", "Empresa: Loja  X  Folha: 1\n" + renamed)], "doc_id string, texto string"))
     assert read.first().nome == "Loja X"
     assert {r.nome for r in supplier_rows(read, ["doc_id"]).collect()} == {"ALFA INFORMATICA LTDA", "BETA EIRELI"}
@@ -212,20 +213,49 @@ def test_uploads(spark, tmp_path):
     data = prepare(found)
     entries = {r.nome: (r.entrada.status, r.leitura.separador if r.leitura else None) for r in data.arquivos.collect()}
     assert entries == {
-        "a.csv": ("ACEITO", ";"), "b.CSV": ("ACEITO", ","), "c.csv": ("ACEITO", None), "d.csv": ("REJEITADO", None),
+        "a.csv": ("ACEITO", ";"), "b.CSV": ("ACEITO", ","), "c.csv": ("REJEITADO", None), "d.csv": ("REJEITADO", None),
         "e.doc": ("REJEITADO", None), "f.pdf": ("REJEITADO", None), "g.pdf": ("ACEITO", None), "h.csv": ("REJEITADO", None),
-        "i.csv": ("ACEITO", None),
+        "i.csv": ("REJEITADO", None),
     }
     rows = {(r.doc_id, r.linha): (r.codigo, r.descricao, None if r.valor is None else float(r.valor)) for r in data.registros.collect()}
     assert rows == {
-        ("a.csv", 1): ("1", "COMPRA", 1234.56), ("a.csv", 4): ("2", "LUZ", None), ("b.CSV", 1): ("1", "SERVICO, MENSAL", 10.0),
+        ("a.csv", 1): ("1", "COMPRA", 1234.56), ("a.csv", 2): ("2", "LUZ", None), ("b.CSV", 1): ("1", "SERVICO, MENSAL", 10.0),
     }
-    assert [tuple(r) for r in data.erros.collect()] == [("a.csv", 4, "valor", "VALOR_INVALIDO", "x")]
+    assert [tuple(r) for r in data.erros.collect()] == [("a.csv", 2, 4, "valor", "VALOR_INVALIDO", "x")]
     stats = {r.doc_id: (r.linhas_validas, r.linhas_invalidas, r.duplicatas_removidas) for r in data.estatisticas.collect()}
     assert stats == {"a.csv": (1, 1, 1), "b.CSV": (1, 0, 0)}
     assert files.first_of_each(found.union(found)).count() == len(FILES)
 
 
+ODD_FILES = {
+    "vazia.csv": "codigo;nada;descricao\n1;;A\n2;;B\n",
+    "indice.csv": "Unnamed: 0;codigo;descricao\n0;1;A\n1;1;A\n",
+    "contabil.csv": "codigo;descricao;nota\n1;BALANCETE DO ANO;x\n2;CAIXA;y\n2;CAIXA;z\n;;w\n",
+    "solta.csv": "texto;x\nBALANCETE;1\nCAIXA;2\n",
+    "branca.csv": "codigo;descricao\n ; \n;\n",
+}
+
+
+def test_uploads_are_cleaned_in_order(spark):
+    rows = [(name, name, len(text), bytearray(text.encode())) for name, text in ODD_FILES.items()]
+    data = prepare(spark.createDataFrame(rows, "doc_id string, nome string, length long, content binary"))
+    kept = {(r.doc_id, r.linha, r.linha_arquivo): (r.codigo, r.descricao) for r in data.registros.collect()}
+    assert kept == {
+        ("vazia.csv", 1, 1): ("1", "A"), ("vazia.csv", 2, 2): ("2", "B"), ("indice.csv", 1, 1): ("1", "A"),
+        ("contabil.csv", 1, 1): ("1", "BALANCETE DO ANO"), ("contabil.csv", 2, 2): ("2", "CAIXA"),
+        ("solta.csv", 1, 1): (None, None), ("solta.csv", 2, 2): (None, None),
+    }
+    said = {(r.doc_id, r.mensagem) for r in data.avisos.collect()}
+    assert said == {
+        ("vazia.csv", "1 colunas vazias removidas."),
+        ("indice.csv", "Colunas sem utilidade removidas: ['Unnamed: 0']"), ("indice.csv", "1 duplicatas removidas."),
+        ("contabil.csv", "5 colunas vazias removidas."), ("contabil.csv", "1 duplicatas removidas."),
+        ("branca.csv", "2 linhas vazias removidas."), ("branca.csv", "2 colunas vazias removidas."),
+    }
+    stats = {r.doc_id: (r.linhas_validas, r.duplicatas_removidas) for r in data.estatisticas.collect()}
+    assert stats == {"vazia.csv": (2, 0), "indice.csv": (1, 1), "contabil.csv": (2, 1), "solta.csv": (2, 0), "branca.csv": (0, 0)}
+
+
 def test_ledger_files_and_sinks(spark, tmp_path):
     (tmp_path / "l.csv").write_text("data,categoria,fornecedor,valor\n2026-06-01,a,b,1.5\n", encoding="utf-8")
     (tmp_path / "l.tsv").write_text("data\tcategoria\tfornecedor\tvalor\n2026-06-01\ta\tb\t1.5\n", encoding="utf-8")
@@ -247,12 +277,12 @@ def test_ledger_files_and_sinks(spark, tmp_path):
 def test_stream_takes_each_file_once(spark, tmp_path):
     source, out, mark = (tmp_path / n for n in ("in", "out", "mark"))
     source.mkdir()
-    (source / "1.txt").write_text(base_text(), encoding="utf-8")
+    (source / "1.txt").write_text(shop_text(), encoding="utf-8")
     (source / "2.txt").write_text("nada aqui", encoding="utf-8")
     run = lambda: folder.ingest_trial_balances(spark, str(source), str(out), str(mark))
     run()
     run()
-    (source / "3.txt").write_text(CLASSED_TEXT, encoding="utf-8")
+    (source / "3.txt").write_text(WORKSHOP_TEXT, encoding="utf-8")
     run()
     status = spark.read.parquet(str(out / "status"))
     assert sorted(r.status for r in status.collect()) == ["NOT_ACCOUNTING", "OK", "OK"]

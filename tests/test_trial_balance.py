@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import CLASSED_TEXT, PERIOD, base_text, classed_line, natural_line, reverse_line
+from conftest import PERIOD, WORKSHOP_TEXT, moved, shop_text
 from ledgerloom import read_trial_balance
 from ledgerloom.functions.classify import entry_type, ledger_category
 from ledgerloom.operators.hierarchy import ancestor_paths, leaves_by_class
@@ -20,37 +20,38 @@ def status(found):
     return {r.doc_id: r.status for r in found.status.collect()}
 
 
-@pytest.mark.parametrize("line, layout", [(reverse_line, "reverso"), (natural_line, "natural")])
-def test_base_document(spark, line, layout):
-    found = read(spark, base_text(line))
+@pytest.mark.parametrize("layout", ["reverso", "natural"])
+def test_shop(spark, layout):
+    found = read(spark, shop_text(layout))
     rows = found.lancamentos.collect()
     assert {r.fornecedor for r in rows} == {
-        "FORNECEDOR TESTE UM LTDA", "FORNECEDOR TESTE DOIS EIRELI", "RECEITA DE PRESTACAO DE SERVICOS",
+        "TECELAGEM AURORA LTDA", "AVIAMENTOS SERRANA EIRELI", "RECEITA COM SERVICOS DE COSTURA",
     }
     total = lambda kind: float(sum(r.valor for r in rows if r.tipo == kind))
-    assert (total("despesa"), total("receita")) == (6000.0, 42000.0)
+    assert (total("despesa"), total("receita")) == (9750.2, 51500.0)
     assert {str(r.data) for r in rows} == {"2025-12-31"}
     assert {r.categoria for r in rows if r.tipo == "despesa"} == {"mercadorias"}
     assert {r.categoria for r in rows if r.tipo == "receita"} == {"servicos"}
     assert found.status.first().layout == layout
 
 
-def test_classed_document(spark):
-    rows = read(spark, CLASSED_TEXT).lancamentos.collect()
+def test_workshop(spark):
+    rows = read(spark, WORKSHOP_TEXT).lancamentos.collect()
     assert {(r.fornecedor, r.tipo, float(r.valor)) for r in rows} == {
-        ("VENDA DE PRODUTOS", "receita", 750.0), ("FRETES E CARRETOS", "despesa", 300.0), ("(-) ICMS", "despesa", 150.0),
+        ("VENDA DE PORTOES", "receita", 1800.0), ("FRETE ATE O CLIENTE", "despesa", 720.0), ("(-) ICMS DA VENDA", "despesa", 360.0),
     }
 
 
 def test_each_document_has_its_own_fate(spark):
-    broken = reverse_line("1", "ATIVO QUEBRADO", 1000, "D", 0, 999)
-    only_assets = "\n".join([reverse_line("1", "ATIVO", 1000, "D", 0, 1000), reverse_line("2", "CAIXA GERAL", 1000, "D", 0, 1000)])
-    no_words = "isso nao e um documento, so texto qualquer"
-    unknown = "BALANCETE de outro sistema: Caixa | 10"
-    balanced = "\n".join([only_assets, reverse_line("3", "CAPITAL", 1000, "C", 1000, 0)])
-    shuffled = base_text().split("\n")
+    line = lambda *row: moved("reverso", *row)
+    broken = line(1, "ATIVO QUEBRADO", "D", 81000).replace("810,00", "810,07", 1)
+    only_assets = "\n".join([line(1, "ATIVO", "D", 81000), line(2, "NUMERARIO", "D", 81000)])
+    no_words = "um bilhete sobre o tempo de amanha"
+    unknown = "BALANCETE em outra ordem: Numerario | 81"
+    balanced = "\n".join([only_assets, line(3, "CAPITAL", "C", 81000)])
+    shuffled = shop_text().split("\n")
     shuffled.append(shuffled.pop(3))  # the stock no longer follows its parent
-    found = read(spark, base_text(), broken, only_assets, no_words, unknown, balanced, "\n".join(shuffled), " . ")
+    found = read(spark, shop_text(), broken, only_assets, no_words, unknown, balanced, "\n".join(shuffled), " . ")
     assert status(found) == {
         "0": "OK", "1": "NOT_RECONCILED", "2": "NOT_BALANCED", "3": "NOT_ACCOUNTING", "4": "UNKNOWN_LAYOUT", "5": "EMPTY",
         "6": "NOT_BALANCED", "7": "NOT_ACCOUNTING",
@@ -60,24 +61,19 @@ def test_each_document_has_its_own_fate(spark):
 
 
 def test_many_documents_equal_each_alone(spark):
-    both = read(spark, base_text(), CLASSED_TEXT, base_text(natural_line)).lancamentos.drop("doc_id")
-    alone = [read(spark, t).lancamentos.drop("doc_id") for t in (base_text(), CLASSED_TEXT, base_text(natural_line))]
+    both = read(spark, shop_text(), WORKSHOP_TEXT, shop_text("natural")).lancamentos.drop("doc_id")
+    alone = [read(spark, t).lancamentos.drop("doc_id") for t in (shop_text(), WORKSHOP_TEXT, shop_text("natural"))]
     assert sorted(both.collect()) == sorted(r for a in alone for r in a.collect())
 
 
 def test_resale_is_no_sale(spark):
-    text = "\n".join(
-        [
-            PERIOD, reverse_line("1", "ATIVO", 3000, "D", 0, 3000), reverse_line("2", "MERCADORIAS PARA REVENDA", 3000, "D", 0, 3000),
-            reverse_line("10", "PASSIVO", 3000, "C", 3000, 0), reverse_line("11", "FORNECEDORES", 3000, "C", 3000, 0),
-            reverse_line("12", "FORNECEDOR TESTE LTDA", 3000, "C", 3000, 0),
-        ]
-    )
-    assert [r.fornecedor for r in read(spark, text).lancamentos.collect()] == ["FORNECEDOR TESTE LTDA"]
+    rows = [(1, "ATIVO", "D", 45000), (2, "MERCADORIAS PARA REVENDA", "D", 45000), (30, "PASSIVO", "C", 45000), (31, "FORNECEDORES", "C", 45000), (32, "ATACADO POLAR LTDA", "C", 45000)]
+    text = "\n".join([PERIOD, *[moved("reverso", *row) for row in rows]])
+    assert [r.fornecedor for r in read(spark, text).lancamentos.collect()] == ["ATACADO POLAR LTDA"]
 
 
 def test_no_period(spark):
-    text = base_text().split("\n", 1)[1]
+    text = shop_text().split("\n", 1)[1]
     assert {str(r.data) for r in read(spark, text, fallback_date="2024-05-06").lancamentos.collect()} == {"2024-05-06"}
     assert {r.data for r in read(spark, text).lancamentos.collect()} == {None}
 
@@ -85,9 +81,9 @@ def test_no_period(spark):
 def test_layout_election(spark):
     right = KNOWN_LAYOUTS[0]
     swapped = Layout("trocado", right.pattern, ("atual", "natureza", "debito", "credito", "anterior", "codigo", "descricao"))
-    assert status(read(spark, base_text(), layouts=[swapped, right])) == {"0": "OK"}
+    assert status(read(spark, shop_text(), layouts=[swapped, right])) == {"0": "OK"}
     never = Layout("nunca", "nao vai casar (.)", ("codigo",))
-    assert status(read(spark, base_text(), layouts=[never])) == {"0": "NOT_ACCOUNTING"}
+    assert status(read(spark, shop_text(), layouts=[never])) == {"0": "NOT_ACCOUNTING"}
 
 
 def test_ungrouped_thousands(spark):
@@ -181,7 +177,7 @@ def test_tree_by_class_matches_definition(paths):
 
 
 def test_class_joins_agree_with_the_documents(spark):
-    twice = CLASSED_TEXT + "\n" + classed_line("77", "3.1", "RECEITA LIQUIDA", 750, "C", credit=750)
+    twice = WORKSHOP_TEXT + "\n" + moved("classificado", 577, "RECEITA LIQUIDA", "C", 180000, classificacao="3.1")
     found = read(spark, twice)
     joined = ancestor_paths(found.contas, ["doc_id"]).select("seq", "ancestrais").collect()
     inside = found.folhas.select("seq", "ancestrais").collect()
