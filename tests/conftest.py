@@ -59,7 +59,7 @@ SHOP = [
     (31, "FORNECEDORES", "C", 975020),
     (32, "TECELAGEM AURORA LTDA", "C", 650020),
     (33, "AVIAMENTOS SERRANA EIRELI", "C", 325000),
-    (34, "CAPITAL INTEGRALIZADO", "C", 1220000),
+    (34, "CAPITAL SOCIAL DA LOJA", "C", 1220000),
     (70, "APURACAO DO EXERCICIO", "C", 5150000),
     (71, "RECEITA COM SERVICOS DE COSTURA", "C", 5150000),
 ]
