@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import fixed, round_exact, signed
@@ -55,24 +55,6 @@ def variation_columns(current: Column, reference: Column) -> list[Column]:
     ]
 
 
-def _compare(current: DataFrame, reference: DataFrame, by: Sequence[str], base: str) -> DataFrame:
-    """Category union of the two sides, for the keys that both sides know."""
-    by = list(by)
-    known = lambda df: df.select(*by).distinct()
-    cur = current.filter(F.col("gasto").isNotNull())
-    ref = reference.filter(F.col("referencia").isNotNull())
-    if by:
-        cur = cur.join(known(reference), by, "left_semi")
-        ref = ref.join(known(current), by, "left_semi")
-    zero = F.lit(0).cast("decimal(28,2)")
-    return cur.join(ref, [*by, "categoria"], "full_outer").select(
-        *by,
-        "categoria",
-        *variation_columns(F.coalesce("gasto", zero), F.coalesce("referencia", zero)),
-        F.lit(base).alias("base_comparacao"),
-    )
-
-
 def variations(
     ledger: DataFrame, by: Sequence[str], budget: DataFrame | None = None, history: DataFrame | None = None
 ) -> DataFrame | None:
@@ -92,11 +74,33 @@ def compare_spend(
     spend: DataFrame, by: Sequence[str], limits: DataFrame | None = None, before: DataFrame | None = None
 ) -> DataFrame | None:
     """Variations from spend tables that are already totalled per key and category."""
+    by = list(by)
     sides = [(base, side) for base, side in zip(BASES, (limits, before)) if side is not None]
-    parts = [_compare(spend, side.withColumnRenamed("gasto", "referencia"), by, base) for base, side in sides]
-    if not parts:
+    if not sides:
         return None
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    own, given = F.col("gasto").alias("atual"), F.col("gasto").alias("referencia")
+    none = F.lit(None).cast("decimal(28,2)")
+    bases = F.explode(F.array(*[F.lit(base) for base, _ in sides])).alias("base_comparacao")
+    rows = spend.select(*by, "categoria", bases, own, none.alias("referencia"), F.lit(True).alias("_do_atual"))
+    for base, side in sides:
+        rows = rows.unionAll(side.select(*by, "categoria", F.lit(base), none.alias("atual"), given, F.lit(False)))
+    # one row per key, category and base; both sides must know the key. A key holds a row a category.
+    key = Window.partitionBy(*by, "base_comparacao")
+    for name in by:
+        rows = rows.filter(F.col(name).isNotNull())
+    both = rows.groupBy(*by, "categoria", "base_comparacao").agg(
+        F.max("atual").alias("atual"), F.max("referencia").alias("referencia"),
+        F.max("_do_atual").alias("_a"), F.min("_do_atual").alias("_r"),
+    )
+    if by:
+        both = both.withColumns({"_a": F.max("_a").over(key), "_r": F.min("_r").over(key)}).filter(F.col("_a") & ~F.col("_r"))
+    zero = F.lit(0).cast("decimal(28,2)")
+    return both.filter(F.col("atual").isNotNull() | F.col("referencia").isNotNull()).select(
+        *by,
+        "categoria",
+        *variation_columns(F.coalesce("atual", zero), F.coalesce("referencia", zero)),
+        "base_comparacao",
+    )
 
 
 def base_order(c: Column) -> Column:
@@ -188,12 +192,16 @@ def severity_counts(found: DataFrame, by: Sequence[str]) -> DataFrame:
 def summary(
     ledger: DataFrame, by: Sequence[str], changes: DataFrame | None = None, found: DataFrame | None = None
 ) -> DataFrame:
-    """Cards: total spend, rows, biggest increase and alerts per severity."""
+    """Cards: total spend, rows, biggest increase and alerts per severity. The ledger may come
+    summed, with the number of rows behind each of its own in ``quantidade``."""
     by = list(by)
     is_expense = F.col("tipo") == "despesa"
+    many = F.count_if(is_expense)
+    if "quantidade" in ledger.columns:
+        many = F.coalesce(F.sum(F.when(is_expense, F.col("quantidade"))), F.lit(0))
     cards = ledger.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(is_expense, F.col("valor"))), F.lit(0)).alias("gasto_total"),
-        F.count_if(is_expense).alias("quantidade_lancamentos"),
+        many.alias("quantidade_lancamentos"),
     )
     names = ["numero_alertas", *[f"alertas_{s}" for s in SEVERITIES]]
     if changes is None or found is None:

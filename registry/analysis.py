@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.operators import advice, contract, ranking, results
 from registry.inputs import budget_from, next_year, raw_ledger
 from registry.common import BY, FULL, LEDGER, SPEND, VARIATIONS, plain
@@ -19,12 +20,21 @@ def _slim(spark, folder, *columns) -> DataFrame:
     return contract.validate_ledger(rows, mode="quarantine")
 
 
+def _summed(spark, folder, *columns) -> DataFrame:
+    """The ledger summed by key and category, and by what else is asked for: read once and stored,
+    it serves every side of a comparison."""
+    ensure_checkpoint_dir(spark)
+    rows = _slim(spark, folder, *columns)
+    return rows.groupBy(*BY, "tipo", "categoria", *columns).agg(
+        F.sum("valor").cast("decimal(28,2)").alias("valor"), F.count(F.lit(1)).alias("quantidade")
+    ).checkpoint()
+
+
 def _changes(spark, folder) -> DataFrame:
-    return _compare(_slim(spark, folder))
+    return _compare(_summed(spark, folder))
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """One pass over the ledger feeds the current, the budget and the history side."""
     spend = results.spend_by_category(rows, BY)
     return results.compare_spend(spend, BY, budget_from(spend), next_year(spend))
 
@@ -34,7 +44,7 @@ def _alerts(spark, folder) -> DataFrame:
 
 
 def budget_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    spend = results.spend_by_category(_slim(spark, folder), BY)
+    spend = results.spend_by_category(_summed(spark, folder), BY)
     found = results.alerts(results.compare_spend(spend, BY, limits=budget_from(spend)))
     return plain(
         found, *BY, "categoria", "severidade", "valor_atual", "valor_referencia", "variacao_percentual", "mensagem"
@@ -81,12 +91,12 @@ _CHANGE_COLUMNS = [
 
 
 def variation_budget(spark, folder):
-    spend = results.spend_by_category(_slim(spark, folder), BY)
+    spend = results.spend_by_category(_summed(spark, folder), BY)
     return plain(results.compare_spend(spend, BY, limits=budget_from(spend)), *_CHANGE_COLUMNS)
 
 
 def variation_history(spark, folder):
-    spend = results.spend_by_category(_slim(spark, folder), BY)
+    spend = results.spend_by_category(_summed(spark, folder), BY)
     return plain(results.compare_spend(spend, BY, before=next_year(spend)), *_CHANGE_COLUMNS)
 
 
@@ -115,7 +125,7 @@ def severity_counts(spark, folder):
 
 
 def summary_cards(spark, folder):
-    rows = _slim(spark, folder)
+    rows = _summed(spark, folder)
     changes = _compare(rows)
     cards = results.summary(rows, BY, changes, results.alerts(changes))
     return plain(
@@ -133,7 +143,7 @@ def top_supplier(spark, folder):
 
 
 def recommendations(spark, folder):
-    rows = _slim(spark, folder, "fornecedor")
+    rows = _summed(spark, folder, "fornecedor")
     found = results.alerts(_compare(rows))
     return plain(advice.recommendations(found, BY, rows))
 

@@ -18,6 +18,12 @@ from registry.docs_sql import SUPPLIERS
 DOC = ["doc_id"]
 
 
+def _stored_ledger(spark, folder):
+    """The ledger summed by supplier, read once and stored."""
+    ensure_checkpoint_dir(spark)
+    return supplier_ledger(spark, folder).checkpoint()
+
+
 def supplier_abc(spark, folder):
     found = s.abc_ranking(supplier_ledger(spark, folder), BY)
     return plain(
@@ -31,7 +37,7 @@ def supplier_totals(spark, folder):
 
 
 def supplier_concentration(spark, folder):
-    return plain(s.concentration(supplier_ledger(spark, folder), BY))
+    return plain(s.concentration(_stored_ledger(spark, folder), BY))
 
 
 def category_summary(spark, folder):
@@ -51,7 +57,7 @@ def last_two_periods(spark, folder):
 
 
 def supplier_period_change(spark, folder):
-    return plain(s.compare_latest(supplier_ledger(spark, folder), "empresa", "periodo"))
+    return plain(s.compare_latest(_stored_ledger(spark, folder), "empresa", "periodo"))
 
 
 def chart_top_suppliers(spark, folder):
@@ -90,8 +96,7 @@ _LEDGER_RULES = (
 
 def _ledger_facts(spark, folder):
     """What the rules look at, by company and year: the ledger is summed by supplier once and stored."""
-    ensure_checkpoint_dir(spark)
-    rows = supplier_ledger(spark, folder).checkpoint()
+    rows = _stored_ledger(spark, folder)
     return rules.Facts(
         documents=rows.select(*BY).distinct(), concentration=s.concentration(rows, BY),
         categories=s.category_summary(rows, BY), members=s.category_members(rows, BY), indicators=None,
