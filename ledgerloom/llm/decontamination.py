@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import words
+from ledgerloom.llm import scratch, words
 
 #: Words of a test phrase, bytes of a shard, and every how many positions are kept for locating.
 PHRASE, SHARD_BYTES, SAMPLED = 10, 1 << 22, 8
@@ -233,6 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     `BLOCK_BYTES` of them at a time.
     """
     docs = docs.drop("spans", "items", "n_words")
+    scratch.text_batches(docs.sparkSession)
     whole = docs.withColumns({"spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>"), "n_words": F.lit(0).cast("long")})
     names = whole.columns
     given = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0)

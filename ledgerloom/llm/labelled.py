@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import scratch
+
 
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo."""
@@ -17,6 +19,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learns: Column, row
     learns: over the labels' key. The same rows come at every run; half (0 or 1) splits them at random.
     What is joined is no longer than the sample, so it may be sent to every task.
     """
+    scratch.text_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learns).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
     total = known.count()
     draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000))

@@ -138,6 +138,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     three names are replaced, all others pass through. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    scratch.text_batches(spark)
     partitions = scratch.shuffle_partitions(spark)
     docs = docs.drop("language", "posterior", "accepted")
     names = [*model.languages, UND]

@@ -225,6 +225,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     table gives an empty table.
     """
     spark = docs.sparkSession
+    scratch.text_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length int, doc_tokens long, ids binary"
     pieces = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(words.frugal(_encoded(vocabulary or tokens.vocabulary_path(), end, window)), schema)

@@ -273,6 +273,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     A task holds the numbers of one shuffle partition; spark.sql.shuffle.partitions says how many there are.
     """
     partitions = scratch.shuffle_partitions(docs.sparkSession)
+    scratch.text_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed")
     others = [c for c in docs.columns if c != text]
     known = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())

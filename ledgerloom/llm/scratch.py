@@ -35,3 +35,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Most rows and bytes of an Arrow batch, by setting, unless the session departs from Spark's own, which suit short rows.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have whole texts go to the workers in batches that fit into the memory that tasks share."""
+    for name, (sparks_own, ours) in BATCHES.items():
+        if spark.conf.get(name, sparks_own) == sparks_own:
+            spark.conf.set(name, ours)

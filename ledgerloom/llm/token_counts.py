@@ -64,6 +64,7 @@ def token_counts(docs: DataFrame, cache: str, text: str = "text", vocabulary: st
     called n_tokens is replaced. An empty table gives an empty table.
     """
     vocabulary = vocabulary or tokens.vocabulary_path()
+    scratch.text_batches(docs.sparkSession)
     fill_cache(docs, text, cache, vocabulary)
     counts = read_cache(docs.sparkSession, cache, tokens.version(vocabulary)).select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__n_tokens"))
     keyed = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text)), 256)))
