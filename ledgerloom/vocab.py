@@ -282,3 +282,9 @@ SUPPLIER_COLUMNS = (
 )
 SUPPLIER_ROW_WORDS = ("FORNECEDOR", "FORNECEDORES", "COMPRA", "AQUISICAO", "AQUISIÇÃO")
 USELESS_COLUMN_PATTERNS = (r"(?i)^unnamed", r"(?i)^col_\d+$", r"^$")
+
+# Cells of a delimited file that mean a missing value
+MISSING_WORDS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)

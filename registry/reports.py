@@ -135,7 +135,7 @@ def _supplier_analysis(spark, folder):
 
 def supplier_report_lines(spark, folder):
     found, headers = _supplier_analysis(spark, folder)
-    return reports.supplier_report(found, headers.join(found.indicadores.select("doc_id"), "doc_id"))
+    return reports.supplier_report(found, headers.join(found.indicadores.select("doc_id"), "doc_id").withColumn("arquivo", F.concat(F.lit("balancete_"), "doc_id", F.lit(".txt"))))
 
 
 def executive_summary(spark, folder):

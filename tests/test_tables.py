@@ -256,6 +256,13 @@ def test_uploads_are_cleaned_in_order(spark):
     assert stats == {"vazia.csv": (2, 0), "indice.csv": (1, 1), "contabil.csv": (2, 1), "solta.csv": (2, 0), "branca.csv": (0, 0)}
 
 
+def test_quoted_cells(spark):
+    text = 'codigo;descricao;valor\n1;"DUAS\nLINHAS; E ""ASPAS""";"1,50"\nNA;null;N/A\n3;NADA;2\n'
+    data = prepare(spark.createDataFrame([("q", "q.csv", len(text), bytearray(text.encode()))], "doc_id string, nome string, length long, content binary"))
+    rows = {r.linha: (r.codigo, r.descricao, None if r.valor is None else float(r.valor)) for r in data.registros.collect()}
+    assert rows == {1: ("1", 'DUAS LINHAS; E "ASPAS"', 1.5), 2: ("3", "NADA", 2.0)}
+
+
 def test_ledger_files_and_sinks(spark, tmp_path):
     (tmp_path / "l.csv").write_text("data,categoria,fornecedor,valor\n2026-06-01,a,b,1.5\n", encoding="utf-8")
     (tmp_path / "l.tsv").write_text("data\tcategoria\tfornecedor\tvalor\n2026-06-01\ta\tb\t1.5\n", encoding="utf-8")
