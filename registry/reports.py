@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import as_money
+from ledgerloom import vocab
 from ledgerloom.operators import contract, filters, reports, results
 from ledgerloom.plans.analysis import Analysis
 from registry.inputs import budget_from, documents, next_year, raw_ledger, table, uploads
@@ -221,6 +222,32 @@ linhas AS (
   UNION ALL SELECT empresa, periodo, 5, '   alternativos e estimativa de economia são geradas pelo módulo de fornecedores.)' FROM g)"""
 
 
+# The place of each line in its section, told from its beginning; alerts and suggestions have keys of their own
+_PLACES = {
+    0: (("RELATÓRIO", 2), ("Gerado", 4), ("", 5)),
+    1: (("1.", 1), ("   Situação", 2), ("   Receita", 3), ("   Despesa", 4), ("   Resultado", 5), ("   Margem", 6), ("", 7)),
+    2: (("2.", 1), ("   Gasto", 2), ("   Lançamentos", 3), ("   Maior", 4), ("   Nenhum", 4), ("   Alertas", 5), ("", 6)),
+    3: (("3.", 1), ("   Sem", 2), ("   Por categoria", 3), ("   Por fornecedor", 20), ("   ", 10), ("", 40)),
+    4: (("4.", 1), ("   Nenhum", 2), ("   [", 10), ("", 20)),
+    5: (("5.", 1), ("   Nenhuma", 10), ("   -", 20), ("   (", 30), ("   alternativos", 31), ("", 32)),
+}
+_PLACE = " ".join(f"WHEN secao = {n} AND starts_with(texto, '{t}') THEN {k}" for n, rows in _PLACES.items() for t, k in rows)
+_TOP_CATEGORY = "regexp_matches(texto, '^   [0-9]+[.] (" + "|".join([*(name for name, _ in vocab.LEDGER_CATEGORY_WORDS), "outros"]) + "): ')"
+_KEY = "row_number() OVER (PARTITION BY empresa, periodo ORDER BY ordem_severidade, variacao_percentual DESC, ordem_base, categoria) AS k"
+
+NUMBERED = f"""{REPORT},
+teclas AS (
+  SELECT empresa, periodo, 4 AS secao, '   [' || {_LABEL} || '] ' || mensagem AS texto, {_KEY} FROM alerts
+  UNION ALL SELECT empresa, periodo, 5, '   - Rever contratos/fornecedores da categoria ''' || categoria || ''': gasto ' || printf('%+.1f', variacao_percentual)
+    || '% acima do esperado (' || {_brl('valor_atual')} || ' vs ' || {_brl('valor_referencia')} || ').', {_KEY} FROM sug
+  UNION ALL SELECT DISTINCT empresa, periodo, 3, texto, CAST(regexp_extract(texto, '^   ([0-9]+)[.]', 1) AS BIGINT) FROM linhas
+    WHERE secao = 3 AND regexp_matches(texto, '^   [0-9]+[.]')),
+postas AS (SELECT l.*, coalesce(k, 0) AS k, CASE WHEN secao = 0 AND starts_with(texto, '=')
+    THEN 2 * row_number() OVER (PARTITION BY empresa, periodo, secao, texto) - 1
+    WHEN secao = 3 AND regexp_matches(texto, '^   [0-9]+[.]') AND NOT {_TOP_CATEGORY} THEN 30 {_PLACE} END AS lugar
+  FROM linhas l LEFT JOIN teclas USING (empresa, periodo, secao, texto))"""
+
+
 def report_text(spark, folder):
     """The report lines without their numbers."""
     return report_lines(spark, folder).drop("linha")
@@ -250,6 +277,7 @@ UNION ALL SELECT DISTINCT 'categoria', categoria FROM ledger UNION ALL SELECT DI
     "corrections": """SELECT o_orderkey, o_orderstatus AS descricao, CASE WHEN o_orderpriority = '1-URGENT' THEN 'impostos' ELSE 'outros' END AS categoria,
   CASE WHEN o_orderpriority = '2-HIGH' THEN 'receita' ELSE 'despesa' END AS tipo,
   CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 10.5 ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS valor FROM orders""",
+    "report_lines": f"{NUMBERED} SELECT empresa, periodo, secao, row_number() OVER (PARTITION BY empresa, periodo ORDER BY secao, lugar, k) AS linha, texto FROM postas",
     "report_text": f"{REPORT} SELECT empresa, periodo, secao, texto FROM linhas",
     "executive_summary": f"""{IND}{_DOC_CON}, adv AS (SELECT doc_id, count(*) AS n FROM ({_DOC_RULES}) GROUP BY ALL),
 ct AS (SELECT f.doc_id, CAST(sum(mov) / 100 AS DOUBLE) AS total, CAST(sum(atual) / 100 AS DOUBLE) AS aberto FROM f GROUP BY ALL),
