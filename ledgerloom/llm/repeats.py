@@ -25,9 +25,9 @@ from ledgerloom.llm import packets, scratch, words
 
 WINDOW = 13
 #: Words that a task gathers before it sends them on; bounds its memory only.
-GATHERED = 1 << 20
-#: Texts that a task unpacks at a time.
-UNPACKED = 512
+GATHERED = 1 << 19
+#: Texts that a task unpacks at a time, and parts in which it goes through a partition's numbers.
+UNPACKED, PARTS = 256, 4
 #: What a row is; what is told about texts comes before them.
 PROBE, ANCHOR, CANDIDATE, REMOVED, TEXT = range(5)
 _FINGERPRINT, _ALIGNED, _SHARED = np.uint64((1 << 30) - 1), np.uint32(1 << 30), np.uint32(1 << 31)
@@ -107,6 +107,11 @@ def _anchors(partitions: int):
             yield packets.only(batch, ANCHOR)
         docs, entries = packets.unpacked(held, np.uint32)
         del held
+        for part in range(PARTS):
+            mine = (entries & np.uint32(_FINGERPRINT)) % np.uint32(PARTS) == part
+            yield from settle(docs[mine], entries[mine])
+
+    def settle(docs: np.ndarray, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
         fingerprint = entries & np.uint32(_FINGERPRINT)
         order, begin = _groups(fingerprint)
         if not len(order):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from ledgerloom.llm import words
 
 #: Pieces that a worker remembers; bounds its memory, never its results.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: Contractions are pieces of their own, and a special string begins with these two.
 _MARKS = ("'", "<|")

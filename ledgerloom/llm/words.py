@@ -30,10 +30,10 @@ def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     """A task's work, after which the worker hands freed memory back: it is reused by tasks that share the executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # one that gives back what is freed
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # where there is such a call
                 ctypes.CDLL(None).malloc_trim(0)
 
