@@ -7,6 +7,7 @@ parsing a corpus is a narrow map without any shuffle, whatever the documents wei
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -118,6 +119,15 @@ def reconciles(account: Column) -> Column:
     return F.coalesce(expected == signed, F.lit(False))
 
 
+def perfect(accounts: Column) -> Column:
+    return (F.size(accounts) > 0) & F.forall(accounts, reconciles)
+
+
+def measures_of(text: Column, layouts: Sequence[Layout]) -> Column:
+    """What every layout finds in a text, whether or not it is needed."""
+    return bind(account_lines(text), lambda own_lines: measures(F.array(*[accounts_with(own_lines, l) for l in layouts])))
+
+
 def measures(candidates: Column) -> Column:
     """Per layout: accounts found and accounts that reconcile."""
     return F.transform(
@@ -143,7 +153,8 @@ def elect(measured: Column, layouts: Sequence[Layout]) -> Column:
 
 
 def parse(text: Column, layouts: Sequence[Layout]) -> Column:
-    """Everything read from a text: ``struct(layout, contas, medidas, falha)``."""
+    """Everything read from a text: ``struct(layout, contas, medidas, falha)``. A layout after one that
+    fits every account is not tried, and measures nothing."""
     names = F.array(*[F.lit(l.name) for l in layouts])
 
     def outcome(candidates: Column, measured: Column, i: Column) -> Column:
@@ -158,16 +169,26 @@ def parse(text: Column, layouts: Sequence[Layout]) -> Column:
             ),
         )
 
-    return bind(
-        account_lines(text),
-        lambda own_lines: bind(
-            F.array(*[accounts_with(own_lines, l) for l in layouts]),
+    def decide(found: list[Column]) -> Column:
+        return bind(
+            F.array(*found),
             lambda candidates: bind(
                 measures(candidates),
                 lambda measured: bind(elect(measured, layouts), lambda i: outcome(candidates, measured, i)),
             ),
-        ),
-    )
+        )
+
+    def attempt(own_lines: Column, found: list[Column]) -> Column:
+        """The next layout, unless one before it fits every account."""
+        if len(found) == len(layouts):
+            return decide(found)
+        accounts = accounts_with(own_lines, layouts[len(found)])
+        if found:
+            settled = reduce(lambda a, b: a | b, [perfect(c) for c in found])
+            accounts = F.when(settled, F.slice(found[0], 1, 0)).otherwise(accounts)
+        return bind(accounts, lambda c: attempt(own_lines, [*found, c]))
+
+    return bind(account_lines(text), lambda own_lines: attempt(own_lines, []))
 
 
 def item_rows(df: DataFrame, by: Sequence[str], items: Column, *more: Column) -> DataFrame:

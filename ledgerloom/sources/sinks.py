@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import ensure_checkpoint_dir
+
 
 def safe_name(text: str, fallback: str = "periodo") -> str:
     """Label as part of a file name."""
@@ -21,6 +23,9 @@ def safe_name_column(c):
 
 
 def _laid_out(df: DataFrame, by: Sequence[str], *order) -> DataFrame:
+    """Rows in ranges of key and order. Laying out by range samples its input first, so the input is stored."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     keys = [F.col(k) for k in by]
     return df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
 

@@ -48,7 +48,8 @@ def ingest_trial_balances(
     same folder again."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        read = read_trial_balance(batch, fallback_date=fallback_date)
+        # parsed once; status and entries both read the stored documents
+        read = read_trial_balance(batch, fallback_date=fallback_date).stored()
         target = f"lote={number}"
         read.status.write.mode("overwrite").parquet(f"{out}/status/{target}")
         read.lancamentos.write.mode("overwrite").parquet(f"{out}/lancamentos/{target}")
@@ -60,7 +61,7 @@ def ingest_uploads(spark: SparkSession, folder: str, out: str, checkpoint: str)
     """New files to ``out/registros``, ``out/erros`` and ``out/arquivos``."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        data = prepare(batch)
+        data = prepare(batch).stored()
         target = f"lote={number}"
         files = data.arquivos.select("doc_id", "nome", "entrada.*", "document_type")
         files.write.mode("overwrite").parquet(f"{out}/arquivos/{target}")

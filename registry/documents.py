@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import period_end
 from ledgerloom.operators import headers, hierarchy
-from ledgerloom.operators.layouts import item_rows, money
+from ledgerloom.operators.layouts import KNOWN_LAYOUTS, item_rows, measures_of, money
 from ledgerloom.operators.results import profit_and_loss
 from registry.inputs import documents
 from ledgerloom.plans.trial_balance import build_trees, classify_documents, parse_documents, read_trial_balance
@@ -51,8 +51,8 @@ def layout_election(spark, folder):
 
 def reconciliation(spark, folder):
     """Accounts found and reconciled under every layout that found any."""
-    parsed = parse_documents(documents(spark, folder))
-    tried = parsed.select("doc_id", F.posexplode_outer("leitura.medidas").alias("layout_no", "m"))
+    measured = documents(spark, folder).select("doc_id", measures_of(F.col("texto"), KNOWN_LAYOUTS).alias("medidas"))
+    tried = measured.select("doc_id", F.posexplode_outer("medidas").alias("layout_no", "m"))
     return tried.filter(F.col("m.contas") > 0).select("doc_id", "layout_no", "m.contas", "m.reconciliadas")
 
 
