@@ -20,7 +20,8 @@ from registry import all_queries
 HEADLINE = (
     "budget_alerts", "pnl", "ranking_fornecedor", "ranking_all", "summary_cards", "recommendations", "supplier_abc",
     "supplier_concentration", "supplier_period_change", "trial_balance_ledger", "doc_status", "indicators", "upload_records",
-    "clean_rows", "parse_money", "parse_date", "categorize_ledger", "contract_violations",
+    "clean_rows", "parse_money", "parse_date", "categorize_ledger", "contract_violations", "report_text", "quality_stats",
+    "advice_rules",
 )
 
 
