@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import scratch
-from ledgerloom.llm.decontamination import contamination, decontaminated, n_hit
+from ledgerloom.llm.decontamination import contamination, n_hit
 from ledgerloom.llm.jaccard_join import linked
 from ledgerloom.llm.language_id import identify_documents, learn_text
 from ledgerloom.llm.packing import digests, pack
@@ -37,8 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; what has no words left goes, n_chars follows the text."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    cut = decontaminated(found)
+    cut = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
     return _shortened(cut.where((F.size("spans") == 0) | (n_hit() < F.col("n_words"))), docs)
 
 

@@ -170,7 +170,22 @@ def occurrences(phrases: Phrases, symbols: np.ndarray, bounds: np.ndarray) -> tu
     return found, place[index.locate(rows)]
 
 
-def _searched(text: int, spans: int, items: int, phrases: Phrases):
+def _without(texts: pa.Array, found: list[list[dict]]) -> pa.Array:
+    """Texts cut at their spans; all of a text outside them stays as it is."""
+    if not any(found):
+        return texts
+    new = texts.to_pylist()
+    for i, own in enumerate(found):
+        if own:
+            raw, kept, at = new[i].encode(), [], 0
+            for span in own:
+                kept.append(raw[at : span["first_byte"]])
+                at = span["end_byte"]
+            new[i] = b"".join([*kept, raw[at:]]).decode()
+    return pa.array(new, texts.type)
+
+
+def _searched(text: int, spans: int, items: int, phrases: Phrases, cut: bool):
     def shard(column: pa.Array, low: int, high: int, data: np.ndarray, offsets: np.ndarray, old: pa.Array) -> tuple[list, list, np.ndarray]:
         starts, ends, bounds = words.spans(data, offsets, words.ALNUM)
         found, at = occurrences(phrases, phrases.symbols_of(words.hashes(data, starts, ends, True)), bounds)
@@ -215,6 +230,8 @@ def _searched(text: int, spans: int, items: int, phrases: Phrases):
                 counts.append(c)
             columns = list(batch.columns)
             columns[spans] = pa.array(new_spans, pa.list_(_SPAN))
+            if cut:
+                columns[text] = _without(columns[text], new_spans)
             columns[items] = pa.array(new_items, pa.list_(pa.string()))
             columns[items + 1] = pa.array(np.concatenate(counts) if counts else [], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -222,14 +239,14 @@ def _searched(text: int, spans: int, items: int, phrases: Phrases):
     return search
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = PHRASE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = PHRASE, cut: bool = False) -> DataFrame:
     """docs with n_words, spans (merged stretches of test phrases, by word and by byte of the text) and items.
 
     A phrase is `size` consecutive words of an item, or all words of a shorter one. Words are runs of
     ASCII letters and digits (capitals folded) and of all other characters. items are the item ids, as
     strings, in order, without repeats; a null id is "". Null and empty texts, of documents or items, have no words. Rows with
     null or repeated keys are searched like any other. Columns of docs with these three names are
-    replaced. Without items, or without documents, nothing is found. Any number of items is searched,
+    replaced. With `cut`, the texts come without their spans. Without items, or without documents, nothing is found. Any number of items is searched,
     `BLOCK_BYTES` of them at a time.
     """
     docs = docs.drop("spans", "items", "n_words")
@@ -243,7 +260,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         # one block of items, of about BLOCK_BYTES
         rows = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         phrases = Phrases.of([(row["item"], row["text"]) for row in rows], size)
-        whole = whole.mapInArrow(words.frugal(_searched(names.index(text), names.index("spans"), names.index("items"), phrases)), whole.schema)
+        whole = whole.mapInArrow(words.frugal(_searched(names.index(text), names.index("spans"), names.index("items"), phrases, cut and block == blocks - 1)), whole.schema)
     return whole
 
 
@@ -251,33 +268,6 @@ def n_hit() -> F.Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end_word"] - span["first_word"])
 
 
-def _cut(text: int, spans: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text)
-            found = batch.column(spans).to_pylist()
-            if any(found):
-                new = texts.to_pylist()
-                for i, own in enumerate(found):
-                    if own:
-                        raw, kept, at = new[i].encode(), [], 0
-                        for span in own:
-                            kept.append(raw[at : span["first_byte"]])
-                            at = span["end_byte"]
-                        new[i] = b"".join([*kept, raw[at:]]).decode()
-                texts = pa.array(new, batch.schema.field(text).type)
-            columns = list(batch.columns)
-            columns[text] = texts
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return cut
-
-
-def decontaminated(found: DataFrame, text: str = "text") -> DataFrame:
-    """What contamination() gives, with the texts cut at its spans: all of a text outside them stays as it is."""
-    return found.mapInArrow(words.frugal(_cut(found.columns.index(text), found.columns.index("spans"))), found.schema)
-
-
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test phrases in every document, with a check sum of the items."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
