@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index over every shard of the training texts.
 
-A shard is a few megabytes of whole texts within one task. Its words become symbols of the test
+A shard is about a megabyte of whole texts within one task. Its words become symbols of the test
 phrases' vocabulary; a run of them that is shorter than any phrase, and every other word, can hold no
 phrase and stays out. Over the rest stands an FM-index: suffix order, last column as a wavelet matrix
 for ranks, and every eighth suffix position. All phrases are searched backwards together, occurrences
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import scratch, words
 
 #: Words of a test phrase, bytes of a shard, and every how many positions are kept for locating.
-PHRASE, SHARD_BYTES, SAMPLED = 10, 1 << 22, 8
+PHRASE, SHARD_BYTES, SAMPLED = 10, words.CHUNK_BYTES, 8
 #: Bytes of items that are sent to the executors at a time; more items make more passes in the same stage.
 BLOCK_BYTES = 1 << 24
 SPANS = "array<struct<first_word:long,end_word:long,first_byte:long,end_byte:long>>"
