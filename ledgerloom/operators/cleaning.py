@@ -45,16 +45,27 @@ def removal_counts(df: DataFrame, by: Sequence[str], cells: Sequence[str]) -> Da
     )
 
 
-def removal_warnings(counts: DataFrame, by: Sequence[str], columns: Sequence[str] = (), useless: Sequence[str] = ()) -> DataFrame:
+def column_counts(filled: DataFrame, by: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """Per key: columns without any value, and the names of useless ones that have some. A column that
+    other keys fill may be empty in one of them."""
+    holds = {c: F.count(c) > 0 for c in cells}
+    empty = reduce(lambda a, b: a + b, [F.when(holds[c], 0).otherwise(1) for c in cells], F.lit(0))
+    useless = F.array_compact(F.array(*[F.when(holds[c], F.lit(c)) for c in cells if is_useless(c)])) if any(map(is_useless, cells)) else F.array()
+    return filled.groupBy(*by).agg(empty.alias("colunas_vazias"), useless.cast("array<string>").alias("inuteis"))
+
+
+def removal_warnings(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """The counts as warning sentences, one row each."""
-    says = lambda n, text: F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))
+    says = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
+    names = F.concat(F.lit("Colunas sem utilidade removidas: ['"), F.array_join("inuteis", "', '"), F.lit("']"))
     rows = [
-        says(F.col("linhas_vazias"), " linhas vazias removidas."),
-        says(F.lit(len(columns)), " colunas vazias removidas."),
-        F.lit(f"Colunas sem utilidade removidas: {list(useless)}") if useless else F.lit(None).cast("string"),
-        says(F.col("duplicatas"), " duplicatas removidas."),
+        says("linhas_vazias", " linhas vazias removidas."),
+        says("colunas_vazias", " colunas vazias removidas."),
+        F.when(F.size("inuteis") > 0, names),
+        says("duplicatas", " duplicatas removidas."),
     ]
-    return counts.select(*by, F.explode(F.array_compact(F.array(*rows))).alias("mensagem"))
+    said = counts.select(*by, F.explode_outer(F.array_compact(F.array(*rows))).alias("mensagem"))
+    return said.filter(F.col("mensagem").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -72,7 +83,8 @@ def clean(df: DataFrame, by: Sequence[str]) -> Cleaned:
     useless = [c for c in cells if c not in empty and is_useless(c)]
     kept = [c for c in cells if c not in empty and c not in useless]
     rows = drop_repeated_rows(filled.select(*by, "linha", *kept), by, kept)
-    warnings = removal_warnings(removal_counts(df.select(*by, *kept), by, kept), by, empty, useless)
+    removed, columns = removal_counts(df.select(*by, *kept), by, kept), column_counts(filled, by, cells)
+    warnings = removal_warnings(removed.join(columns, by, "left") if by else removed.crossJoin(columns), by)
     return Cleaned(clean_cells(rows, kept), warnings)
 
 

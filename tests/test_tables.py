@@ -177,6 +177,12 @@ def test_cleaning(spark):
     }
 
 
+def test_columns_are_empty_by_key(spark):
+    rows = [("d", 1, "a", None), ("d", 2, "b", None), ("e", 1, "a", "x")]
+    got = cleaning.clean(spark.createDataFrame(rows, "doc string, linha int, nome string, nota string"), ["doc"])
+    assert [tuple(r) for r in got.avisos.collect()] == [("d", "1 colunas vazias removidas.")]
+
+
 def test_strategy_registry(spark):
     df = spark.createDataFrame([("BALANCETE", "4 CAIXA"), ("LIVRO_DIARIO", "5 BANCO")], "document_type string, descricao string")
     special = lambda rows, keep: standard_rows(rows, keep).withColumn("natureza", F.lit("X"))
