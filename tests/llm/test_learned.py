@@ -129,6 +129,32 @@ def test_mixing_is_a_distribution():
     assert 0.5 < total < 1 + 1e-6 + capitals
 
 
+def test_context_counts_pass_32_bits(monkeypatch):
+    """Sums of tasks are whole beyond 32 bits, and a task sends its counts on before they are full."""
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
+
+    def total(batches):
+        out = Counter()
+        for batch in batches:
+            for k, at, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = np.frombuffer(unpack(own), "<i8")
+                for i in np.flatnonzero(own):
+                    out[k, at + int(i)] += int(own[i])
+        return out
+
+    block = pack(np.array([2**31 - 1, 2**30], "<i8").tobytes())
+    given = pa.RecordBatch.from_arrays([pa.array([0, 0, 0], pa.int32()), pa.array([0, 0, 0], pa.int64()), pa.array([block] * 3, pa.binary())], ["predictor", "at", "counts"])
+    assert total(mixing._summed(iter([given]))) == {(0, 0): 3 * (2**31 - 1), (0, 1): 3 * 2**30}
+    texts = [pa.RecordBatch.from_arrays([pa.array([f"one word and another {i}", "aaaa"])], ["text"]) for i in range(5)]
+    tally = mixing._tallied(mixing.Code(np.ones(256, np.int64)), np.zeros((mixing.BUCKETS, mixing.DIALECTS), np.float32), 18)
+    whole = list(tally(iter(texts)))
+    monkeypatch.setattr(mixing, "FULL", 40)
+    parts = list(tally(iter(texts)))
+    assert len(parts) > len(whole) and total(parts) == total(whole)
+
+
 def test_own_words_become_cheaper():
     found = words.mix(np.array([1, 2, 1, 1, 3], np.uint64))
     cost = np.full(5, -10.0)
