@@ -65,6 +65,25 @@ class Grammar:
         return out
 
 
+def _plain(data: np.ndarray) -> np.ndarray:
+    """The bytes with typographic apostrophes as plain ones, three for each, so that both end a word."""
+    at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] == 0x99))
+    if len(at):
+        data = data.copy()
+        data[at[:, None] + np.arange(3)] = 0x27
+    return data
+
+
+def _contracted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of words that an apostrophe alone parts from the word before in their text, keys of both words as one)."""
+    gap = starts[1:] - ends[:-1]
+    marks = np.concatenate([[0], np.cumsum(data == 0x27)])
+    joined = ((gap == 1) | (gap == 3)) & (marks[starts[1:]] - marks[ends[:-1]] == gap)
+    row = words.rows_of(bounds)
+    at = np.flatnonzero(joined & (row[1:] == row[:-1])) + 1
+    return at, words.mix(found[at - 1] + words.mix(found[at])) & ~np.uint64(1)
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, bounds = words.spans(data, offsets, words.ALNUM)
     return starts, ends, bounds, words.hashes(data, starts, ends, True) & ~np.uint64(1)
@@ -82,6 +101,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for low, _, data, offsets in words.chunks(batch.column(0)):
+            data = _plain(data)
             starts, ends, bounds, found = _words(data, offsets)
             row = words.rows_of(bounds)
             stems = list(_stems(data, starts, ends))
@@ -103,9 +123,14 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _seed_entries() -> dict[int, tuple[int, float]]:
     out = {}
     for kind, text in SEEDS.items():
-        data, offsets = words.buffer(pa.array([text.replace("'", "")]))
-        for key in _words(data, offsets)[3].tolist():
-            out[key] = (kind, SEED_WEIGHT)
+        # a contraction as it stands, two words and an apostrophe, and written as one word
+        for own in text.split():
+            data, offsets = words.buffer(pa.array([own]))
+            starts, ends, bounds, found = _words(data, offsets)
+            if len(found) > 1:
+                found = np.append(_contracted(data, starts, ends, bounds, found)[1], _words(*words.buffer(pa.array([own.replace("'", "")])))[3])
+            for key in found.tolist():
+                out[key] = (kind, SEED_WEIGHT)
     return out
 
 
@@ -143,6 +168,7 @@ def features(grammar: Grammar, column: pa.Array) -> np.ndarray:
     out = np.zeros((len(column), 5))
     out[:, 0] = 1
     for low, high, data, offsets in words.chunks(column):
+        data = _plain(data)
         starts, ends, bounds, found = _words(data, offsets)
         out[low:high, 4] = np.diff(bounds)
         entry = grammar.entries(found)
@@ -150,6 +176,12 @@ def features(grammar: Grammar, column: pa.Array) -> np.ndarray:
             stem = grammar.entries(keys)
             better = (stem >= 0) & ((entry[at] < 0) | (grammar.weights[stem] > np.where(entry[at] >= 0, grammar.weights[entry[at]], -np.inf)))
             entry[at[better]] = stem[better]
+        if len(found) > 1:
+            at, keys = _contracted(data, starts, ends, bounds, found)
+            both = grammar.entries(keys)
+            at, both = at[both >= 0], both[both >= 0]
+            entry[at - 1] = -1  # the two count as one, at the place of the second
+            entry[at] = both
         match = np.flatnonzero(entry >= 0)
         if not len(match):
             continue

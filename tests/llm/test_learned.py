@@ -62,6 +62,18 @@ def test_clause_automaton():
     assert toxicity.clause_weight([(0, toxicity.THREAT, 1.0)]) == 0 < toxicity.clause_weight([(0, toxicity.THREAT, 1.0), at(1, target)])
 
 
+def test_contractions_deny_in_raw_text():
+    entries = toxicity._seed_entries()
+    keys = np.array(sorted(entries), np.uint64)
+    kinds, weights = zip(*[entries[k] for k in keys.tolist()], strict=True)
+    grammar = toxicity.Grammar(keys, np.array(kinds), np.array(weights), np.zeros(5))
+    texts = ["you are an idiot", "you are not an idiot", "you aren't an idiot", "you aren\u2019t an idiot", "you AREN'T an idiot", "you arent an idiot", "you aren 't an idiot", "l'idiot", "l\u2019idiot", "idiot", "you aren'", "t idiot"]
+    weight = toxicity.features(grammar, pa.array(texts))[:, 1].tolist()
+    stated, denied = weight[:2]
+    assert denied < stated and weight[2:6] == [denied] * 4 and weight[6] == stated
+    assert weight[7] == weight[8] == weight[9] == weight[11] > 0 == weight[10]
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     n = 6
