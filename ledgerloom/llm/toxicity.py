@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Transducers turn words into classes: insults (whole words and stems, weighed by what labelled rows say),
-threats, targets, negation and reported speech. Their composition is one automaton that reads a clause's
+Words are looked up in classes: insults (whole words and stems, weighed by what labelled rows say),
+threats, targets, negation and reported speech. One automaton, written by hand, reads a clause's
 classes from left to right; its state says whether a negation is near, whether speech is reported and
 whether somebody is addressed, and each insult or threat adds its weight as the state has it. The score is a
 logistic function of what the matched clauses weigh, fitted to rows that the lexicon
