@@ -167,6 +167,10 @@ def test_context_counts_pass_32_bits(monkeypatch):
     assert len(parts) > len(whole) and total(parts) == total(whole)
 
 
+def test_tables_grow_with_the_corpus():
+    assert [mixing.table_bits(n) for n in (0, 1 << 20, 1 << 24, 1 << 25, 1 << 26)] == [18, 18, 20, 21, 22]
+
+
 def test_own_words_become_cheaper():
     found = words.mix(np.array([1, 2, 1, 1, 3], np.uint64))
     cost = np.full(5, -10.0)
