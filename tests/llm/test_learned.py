@@ -151,12 +151,12 @@ def test_context_counts_pass_32_bits(monkeypatch):
         out = Counter()
         for batch in batches:
             for k, at, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = np.frombuffer(unpack(own), "<i8")
+                own = mixing._unpacked(own, unpack)
                 for i in np.flatnonzero(own):
                     out[k, at + int(i)] += int(own[i])
         return out
 
-    block = pack(np.array([2**31 - 1, 2**30], "<i8").tobytes())
+    block = mixing._packed(np.array([2**31 - 1, 2**30]), pack)
     given = pa.RecordBatch.from_arrays([pa.array([0, 0, 0], pa.int32()), pa.array([0, 0, 0], pa.int64()), pa.array([block] * 3, pa.binary())], ["predictor", "at", "counts"])
     assert total(mixing._summed(iter([given]))) == {(0, 0): 3 * (2**31 - 1), (0, 1): 3 * 2**30}
     texts = [pa.RecordBatch.from_arrays([pa.array([f"one word and another {i}", "aaaa"])], ["text"]) for i in range(5)]
@@ -171,6 +171,17 @@ def test_tables_grow_with_the_corpus():
     assert [mixing.table_bits(n) for n in (0, 1 << 20, 1 << 24, 1 << 25, 1 << 26)] == [18, 18, 20, 21, 22]
 
 
+def test_order_of_words_counts(spark):
+    """A text whose words follow one another as in the training texts is likelier than the same words shuffled."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40)]
+    texts = [" ".join(vocabulary[(start + i) % 40] for i in range(40)) for start in rng.integers(0, 40, 100)]
+    shuffled = " ".join(rng.permutation(vocabulary).tolist())
+    docs = spark.createDataFrame([*enumerate(texts), (1000, " ".join(vocabulary)), (1001, shuffled)], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in mixing.score(docs, docs["doc_id"] < 1000).collect()}
+    assert scores[1000] > 0.6 * scores[1001]
+
+
 def test_own_words_become_cheaper():
     found = words.mix(np.array([1, 2, 1, 1, 3], np.uint64))
     cost = np.full(5, -10.0)
