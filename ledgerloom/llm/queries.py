@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.ball_codes import OP11_SQL, op11_vector_codes
 from ledgerloom.llm.decontamination import OP6_SQL, op6_decontamination
 from ledgerloom.llm.jaccard_join import op1_jaccard_join
 from ledgerloom.llm.language_id import language_of_pages, op7_language_id
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_repeats": OP8_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
