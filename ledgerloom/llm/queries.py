@@ -17,6 +17,7 @@ from ledgerloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from ledgerloom.llm.repeats import OP8_SQL, op8_repeats
 from ledgerloom.llm.token_counts import op10_token_counts
 from ledgerloom.llm.toxicity import op2_toxicity
+from ledgerloom.llm.turn_repair import OP13_SQL, op13_conversation_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_vector_codes": op11_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op8_repeats": OP8_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
