@@ -16,6 +16,7 @@ from ledgerloom.llm.quality_classifier import op4_quality_classifier
 from ledgerloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from ledgerloom.llm.repeats import OP8_SQL, op8_repeats
 from ledgerloom.llm.token_counts import op10_token_counts
+from ledgerloom.llm.token_files import op12_token_files
 from ledgerloom.llm.toxicity import op2_toxicity
 from ledgerloom.llm.turn_repair import OP13_SQL, op13_conversation_repair
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_vector_codes": op11_vector_codes,
+    "op12_token_files": op12_token_files,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
