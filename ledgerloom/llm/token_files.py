@@ -33,6 +33,8 @@ VOCABULARY, END = "byte_bpe_50k.json", 0
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 16
 #: Bytes of ids that one task sorts and writes.
 SHARD_BYTES = 64 << 20
+#: Ids hardly shrink by the default codec.
+COMPRESSION = "zstd"
 #: Every so many ones of the upper bits have their place kept.
 SAMPLED = 256
 _MAGIC = b"LLEF1\0"
@@ -321,13 +323,13 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     scratch.text_batches(spark)
     width = encoder(vocabulary).width
     coded = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(words.frugal(_encoded(vocabulary, end)), "key long, n long, ids binary")
-    coded = scratch.stored(coded.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    coded = scratch.stored(coded.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "token-ids", COMPRESSION)
     total = coded.agg(F.sum("n")).first()[0] or 0
     order = [F.col("key").asc_nulls_first(), F.col("tie").asc(), F.col("row").asc()]
     shards = max(scratch.shuffle_partitions(spark), -(-total * width // SHARD_BYTES))
     dealt = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     blocks = dealt.select(F.spark_partition_id().alias("shard"), "key", "n", "ids").mapInArrow(words.frugal(_blocks(width)), _BLOCK_TYPES)
-    blocks.write.parquet(f"{path}/blocks")
+    blocks.write.parquet(f"{path}/blocks", compression=COMPRESSION)
     sizes = sorted((r["shard"], r["n"]) for r in spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())  # a row a shard
     starts = np.cumsum([0] + [n for _, n in sizes]).tolist()
     spark.createDataFrame([(shard, start) for (shard, _), start in zip(sizes, starts, strict=False)], "shard int, shard_start long").coalesce(1).write.parquet(f"{path}/shards")
