@@ -34,8 +34,11 @@ def main() -> None:
         for timed in (False, True):
             start = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            spent = round(time.perf_counter() - start, 3)
             if timed:
-                times[name] = round(time.perf_counter() - start, 3)
+                times[name] = spent
+            # each run as it ends, so that a run that is stopped leaves figures
+            print(f"{name} {'timed' if timed else 'warm-up'} {spent} s", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -73,6 +73,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """``value`` as it is. It counts as not repeatable, so no filter or projection above it has it evaluated again."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_SPACES))
 

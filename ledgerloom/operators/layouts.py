@@ -31,6 +31,11 @@ class Layout:
     name: str
     pattern: str
     groups: tuple[str, ...]
+    #: What the signature of a line must hold for the pattern to have a chance; None: every line is tried.
+    shape: str | None = None
+
+    def fits(self, signature: Column) -> Column:
+        return F.lit(True) if self.shape is None else signature.rlike(self.shape)
 
     def split(self, line: Column) -> Column:
         """The nine fields of a line, from a single match; any other size means no match."""
@@ -46,17 +51,20 @@ KNOWN_LAYOUTS: list[Layout] = [
         "reverso",
         rf"{_N}([DC]){_N}{_N}{_N}(\d+)\s+(.+)$",
         ("atual", "natureza", "credito", "debito", "anterior", "codigo", "descricao"),
+        r"#[DC]###\d",
     ),
     Layout(
         "natural",
         rf"(\d+)\s+(\D+?)\s+{_N}\s+{_N}\s+{_N}\s+{_N}([DC])\s*$",
         ("codigo", "descricao", "anterior", "debito", "credito", "atual", "natureza"),
+        r"# # # #[DC] ?$",
     ),
     Layout(
         "classificado",
         rf"(\d+)\s+([\d.]+)\s+{_N}([DC]){_N}([DC])?\s+{_N}\s+{_N}(.+)$",
         ("codigo", "classificacao", "atual", "natureza", "anterior", "natureza_anterior", "debito", "credito",
          "descricao"),
+        r"#[DC]#[DC]? # #",
     ),
 ]
 
@@ -73,9 +81,11 @@ def _blank_null(c: Column) -> Column:
 
 
 def accounts_with(text_lines: Column, layout: Layout) -> Column:
-    """Array of accounts, money in cents. ``seq`` is the line number in the document."""
+    """Array of accounts, money in cents, of lines (see :func:`signed_lines`). ``seq`` is the line number in the document."""
     found = F.filter(
-        F.transform(text_lines, lambda l, i: F.struct(i.alias("seq"), layout.split(l).alias("f"))),
+        F.transform(
+            F.filter(text_lines, lambda l: layout.fits(l["forma"])), lambda l: F.struct(l["seq"].alias("seq"), layout.split(l["texto"]).alias("f"))
+        ),
         lambda x: F.size(x["f"]) == len(FIELDS),
     )
     at = {f: i for i, f in enumerate(FIELDS)}
@@ -96,15 +106,22 @@ def accounts_with(text_lines: Column, layout: Layout) -> Column:
     )
 
 
-def account_lines(text: Column) -> Column:
-    """Lines that can hold an account at all; the others never reach the patterns."""
-    cleaned = F.transform(lines(text), lambda l: F.translate(l, _MARK, ""))
-    return F.transform(cleaned, lambda l: F.when(l.rlike(r",\d\d"), l).otherwise(F.lit("")))
+def signed_lines(text: Column, change=None) -> Column:
+    """``struct(seq, texto, forma)`` of the lines that can hold an account at all; the others never reach the patterns.
+
+    The signature (``forma``) has a mark for each number and one blank for each gap. A number ends two
+    digits after its comma wherever a pattern has it begin, so one signature serves all layouts.
+    """
+    numbered = F.transform(lines(text), lambda l, i: F.struct(i.alias("seq"), F.translate(l, _MARK, "").alias("texto")))
+    held = F.filter(numbered, lambda l: l["texto"].rlike(r",\d\d"))
+    own = (lambda l: l["texto"]) if change is None else (lambda l: change(l["texto"]))
+    signature = lambda c: F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("#"), F.lit("")), r"(?U)[\d.]+,\d{2}", "#"), r"(?U)\s+", " ")
+    return F.transform(held, lambda l: bind(own(l), lambda t: F.struct(l["seq"].alias("seq"), t.alias("texto"), signature(t).alias("forma"))))
 
 
 def supplier_accounts(text: Column) -> Column:
     """Accounts of the supplier reports: blanks collapsed, dots and blanks cut off the name."""
-    rows = accounts_with(F.transform(account_lines(text), collapse), SUPPLIER_LAYOUT)
+    rows = accounts_with(signed_lines(text, collapse), SUPPLIER_LAYOUT)
     trimmed = lambda d: F.coalesce(_blank_null(F.regexp_replace(d, r"^[ .]+|[ .]+$", "")), d)
     return F.transform(rows, lambda c: c.withField("descricao", trimmed(c["descricao"])))
 
@@ -125,7 +142,7 @@ def perfect(accounts: Column) -> Column:
 
 def measures_of(text: Column, layouts: Sequence[Layout]) -> Column:
     """What every layout finds in a text, whether or not it is needed."""
-    return bind(account_lines(text), lambda own_lines: measures(F.array(*[accounts_with(own_lines, l) for l in layouts])))
+    return bind(signed_lines(text), lambda own_lines: measures(F.array(*[accounts_with(own_lines, l) for l in layouts])))
 
 
 def measures(candidates: Column) -> Column:
@@ -188,7 +205,7 @@ def parse(text: Column, layouts: Sequence[Layout]) -> Column:
             accounts = F.when(settled, F.slice(found[0], 1, 0)).otherwise(accounts)
         return bind(accounts, lambda c: attempt(own_lines, [*found, c]))
 
-    return bind(account_lines(text), lambda own_lines: attempt(own_lines, []))
+    return bind(signed_lines(text), lambda own_lines: attempt(own_lines, []))
 
 
 def item_rows(df: DataFrame, by: Sequence[str], items: Column, *more: Column) -> DataFrame:

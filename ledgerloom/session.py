@@ -21,6 +21,8 @@ def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: i
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.files.minPartitionNum", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.files.openCostInBytes", "65536")
+        # the call site of every single column costs more than the column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
         .getOrCreate()
     )

@@ -28,6 +28,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all tasks. The sample files are one row group, so one task would read all of them and
+    parse every text made from them; tables of many row groups lose little by it, as these rows are short."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def raw_ledger(spark: SparkSession, folder: str, columns: Collection[str] = LEDGER_COLUMNS) -> DataFrame:
     """Sales lines as ledger rows. Only the tables behind the wanted columns are joined."""
     line = table(spark, folder, "lineitem")
@@ -164,9 +171,11 @@ def _br(cents: str) -> str:
     return f"translate(format_number(CAST({cents} AS DECIMAL(20,0)) * 0.01BD, 2), ',.', '.,')"
 
 
-def order_companies(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with the kind of document and the account amounts they stand for."""
+def order_companies(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
+    """Orders with the kind of document and the account amounts they stand for. dealt: for texts to be parsed."""
     orders = table(spark, folder, "orders")
+    if dealt:
+        orders = spread(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority"), "o_orderkey")
     kind = F.expr(
         """CASE o_orderpriority
              WHEN '2-HIGH' THEN 'a_pagar'
@@ -196,7 +205,7 @@ def order_companies(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Trial-balance texts (``doc_id``, ``texto``), one per order."""
-    companies = order_companies(spark, folder)
+    companies = order_companies(spark, folder, dealt=True)
     rows = []
     for number, (code, name, nature, previous, amount, when) in enumerate(_CHART, start=1):
         amount = amount.format(s=_HAS_SUPPLIERS)
@@ -267,6 +276,7 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
         ("104", F.lit("Folha de pagamento"), F.lit("abc"), F.lit("31/02/2020"), F.lit("loja")),
         ("105", F.lit("Serviço avulso"), F.lit(""), F.lit(""), F.lit("")),
     ]
+    rows = spread(rows, "doc_id")
     content = F
     for status, names in _UPLOAD_HEADER.items():
         sep = _UPLOAD_SEPARATOR[status]

@@ -1,3 +1,7 @@
+import dataclasses
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +11,7 @@ from conftest import PERIOD, WORKSHOP_TEXT, moved, shop_text
 from ledgerloom import read_trial_balance
 from ledgerloom.functions.classify import entry_type, ledger_category
 from ledgerloom.operators.hierarchy import ancestor_paths, leaves_by_class
-from ledgerloom.operators.layouts import KNOWN_LAYOUTS, Layout
+from ledgerloom.operators.layouts import KNOWN_LAYOUTS, Layout, accounts_with, signed_lines
 from ledgerloom.operators.tree import above_by_class, above_by_value
 
 
@@ -183,3 +187,50 @@ def test_class_joins_agree_with_the_documents(spark):
     inside = found.folhas.select("seq", "ancestrais").collect()
     assert sorted(joined) == sorted(inside)
     assert leaves_by_class(found.contas, ["doc_id"]).count() == len(inside)
+
+
+def plain_above(balances, natures):
+    """Each run of following accounts gone through one by one."""
+    n, end, above, groups = len(balances), [0] * len(balances), [None] * len(balances), []
+    for i in reversed(range(n)):
+        left, j = balances[i], i + 1
+        while left > 0 and j < n and natures[j] == natures[i] and balances[j] <= left:
+            left, j = left - balances[j], end[j] or j + 1
+        if left == 0:
+            end[i] = j
+    for i in range(n):
+        while groups and end[groups[-1]] <= i:
+            groups.pop()
+        if end[i]:
+            groups.append(i)
+        else:
+            above[i] = list(groups)
+    return above
+
+
+def test_groups_by_balance_are_those_of_the_plain_search():
+    draw = random.Random(5)
+    for _ in range(5000):
+        n, low, high = draw.randint(0, 14), draw.choice((0, 1, -2)), draw.choice((2, 4, 9))
+        balances = [draw.randint(low, high) for _ in range(n)]
+        natures = [draw.choice("DC") if draw.random() < 0.3 else "D" for _ in range(n)]
+        assert above_by_value(balances, natures) == plain_above(balances, natures)
+
+
+def test_accounts_that_never_sum_up_take_no_quadratic_time():
+    n = 100_000
+    start = time.perf_counter()
+    found = above_by_value([2 * n - i for i in range(n)], ["D"] * n)
+    assert time.perf_counter() - start < 5 and found == [[]] * n
+
+
+def test_signature_lets_every_matching_line_through(spark):
+    lines = [
+        "1.000,00D0,0058000,0058.000,0012 CAIXA GERAL", "12 CAIXA # GERAL  1,00  2,00  3.000,00  4,00D ", "7 CAIXA\t1,00\u00a02,00 3,00 4,00C",
+        "12 1.1.01 5,00D4,00C 3,00 2,00BANCOS", "12 1.1.01 5,00D4,00 3,00 2,00 9,99 BANCOS", "3 x,00 y 1,00", "8 A 1,00 2,00 3,00D", "nada", "1,00D2,003,004,00 5 X",
+    ]
+    frame = spark.createDataFrame([("\n".join(lines),)], "texto string")
+    for layout in KNOWN_LAYOUTS:
+        free = dataclasses.replace(layout, shape=None)
+        with_shape, without = frame.select(accounts_with(signed_lines(F.col("texto")), layout), accounts_with(signed_lines(F.col("texto")), free)).first()
+        assert with_shape == without and len(without) > 0
