@@ -1,4 +1,4 @@
-"""Rule-based advice. Each rule is a filter over small tables; all of them are united."""
+"""Rule-based advice. Rules are data: each key's facts are one wide row, and all rules are asked of it together."""
 
 from __future__ import annotations
 
@@ -16,163 +16,174 @@ from ledgerloom.operators.suppliers import MOVEMENT, category_members
 
 @dataclass(frozen=True)
 class Facts:
-    """What the rules look at: per document, per supplier, per category and per change."""
-
-    documents: DataFrame
-    concentration: DataFrame
-    categories: DataFrame
-    members: DataFrame
-    indicators: DataFrame
+    """What the rules look at: per key, per category and per change of a supplier. Without ``documents`` the keys
+    are those of ``indicators``."""
+
+    documents: DataFrame | None
+    concentration: DataFrame | None
+    categories: DataFrame | None
+    members: DataFrame | None
+    indicators: DataFrame | None
     changes: DataFrame | None = None
 
 
-def _advice(rows: DataFrame, by: Sequence[str], rule: int, order: Column | None = None, **values: Column) -> DataFrame:
-    priority, subject, title, text = RULES[rule]
-    return rows.select(
-        *by,
-        fill(title, **values).alias("titulo"),
-        fill(text, **values).alias("descricao"),
-        F.lit(priority).alias("prioridade"),
-        F.lit(subject).alias("categoria"),
-        F.lit(PRIORITY_ORDER[priority]).alias("peso"),
-        F.lit(rule).alias("regra"),
-        (F.lit(0.0) if order is None else order.cast("double")).alias("ordem_na_regra"),
-    )
+@dataclass(frozen=True)
+class Rule:
+    """When a rule speaks, what its texts hold, and its place among rows of its own.
+
+    Conditions and values are asked of one wide row a key, which has the columns of ``concentration`` and
+    ``indicators`` and the largest category as ``principal``; with ``each``, of the items of that array column
+    (``x``), or of a change. Number and texts live in ``messages``.
+    """
+
+    number: int
+    when: Callable[[Callable[[str], Column]], Column]
+    values: Callable[[Callable[[str], Column]], dict[str, Column]] = lambda x: {}
+    order: Callable[[Callable[[str], Column]], Column] | None = None
+    each: str | None = None
+
+    def advice(self, x: Callable[[str], Column]) -> Column:
+        """The advice as a struct, null where the rule is silent."""
+        priority, subject, title, text = RULES[self.number]
+        values = self.values(x)
+        return F.when(
+            self.when(x),
+            F.struct(
+                fill(title, **values).alias("titulo"),
+                fill(text, **values).alias("descricao"),
+                F.lit(priority).alias("prioridade"),
+                F.lit(subject).alias("categoria"),
+                F.lit(PRIORITY_ORDER[priority]).alias("peso"),
+                F.lit(self.number).alias("regra"),
+                (F.lit(0.0) if self.order is None else self.order(x).cast("double")).alias("ordem_na_regra"),
+            ),
+        )
+
+
+def _times(x: Callable[[str], Column]) -> Column:
+    return x("caixa").cast("double") / x("passivo_circulante").cast("double")
+
+
+single_supplier = Rule(
+    1, lambda x: x("maior_fornecedor_percentual") >= 40,
+    lambda x: {"nome": x("maior_fornecedor"), "percentual": fixed(x("maior_fornecedor_percentual"), 1)},
+)
+top_three = Rule(
+    2, lambda x: (x("quantidade_fornecedores") >= 3) & (x("top_3_percentual") >= 70),
+    lambda x: {"nomes": x("tres_maiores"), "percentual": fixed(x("top_3_percentual"), 1)},
+)
+high_index = Rule(
+    3, lambda x: (x("indice_hhi") > 2500) & (x("quantidade_fornecedores") >= 2), lambda x: {"hhi": F.format_number(x("indice_hhi"), 0)}
+)
+few_suppliers = Rule(4, lambda x: x("quantidade_fornecedores").between(1, 3), lambda x: {"quantidade": x("quantidade_fornecedores")})
+dominant_category = Rule(
+    5, lambda x: (x("principal")["percentual_do_total"] >= 50) & ~x("principal")["categoria"].startswith("Outros"),
+    lambda x: {
+        "categoria": x("principal")["categoria"], "percentual": fixed(x("principal")["percentual_do_total"], 1),
+        "quantidade": x("principal")["quantidade_fornecedores"],
+    },
+)
+# the sentence counts the suppliers; their names are the rows of `merge_names`
+merge_category = Rule(
+    6, lambda x: F.lit(True),
+    lambda x: {"categoria": x("categoria"), "quantidade": x("quantidade_fornecedores"), "nomes": F.lit(NAMES_ELSEWHERE), "total": currency(x("total"))},
+    lambda x: -x("total"), each="consolidaveis",
+)
+low_liquidity = Rule(7, lambda x: x("liquidez_corrente") < 1, lambda x: {"liquidez": fixed(x("liquidez_corrente"), 2)})
+idle_cash = Rule(
+    8, lambda x: (x("caixa") > 0) & (x("passivo_circulante") > 0) & F.when(x("passivo_circulante") != 0, _times(x) >= 10),
+    lambda x: {"caixa": currency(x("caixa")), "razao": fixed(_times(x), 0), "passivo": currency(x("passivo_circulante"))},
+)
+negative_capital = Rule(9, lambda x: x("capital_de_giro") < 0, lambda x: {"capital": currency(F.abs(x("capital_de_giro")))})
+margin_too_high = Rule(10, lambda x: x("margem_liquida") >= 90, lambda x: {"margem": fixed(x("margem_liquida"), 1)})
+margin_low = Rule(11, lambda x: x("margem_liquida") < 5, lambda x: {"margem": fixed(x("margem_liquida"), 1)})
+no_suppliers = Rule(12, lambda x: x("quantidade_fornecedores").isNull())
+good_practice = Rule(13, lambda x: x("quantidade_fornecedores").isNotNull())
+
+# Add a rule here to have it run.
+RULE_SET: list[Rule] = [
+    single_supplier, top_three, high_index, few_suppliers, dominant_category, merge_category, low_liquidity,
+    idle_cash, negative_capital, margin_too_high, margin_low, no_suppliers, good_practice,
+]
 
 
-def single_supplier(facts: Facts, by):
-    rows = facts.concentration.filter(F.col("maior_fornecedor_percentual") >= 40)
-    return _advice(
-        rows, by, 1, nome=F.col("maior_fornecedor"), percentual=fixed(F.col("maior_fornecedor_percentual"), 1)
-    )
+def _change_values(x: Callable[[str], Column]) -> dict[str, Column]:
+    return {
+        "nome": x("nome"), "percentual": fixed(F.abs(x("variacao_percentual")), 0),
+        "anterior": currency(x("valor_periodo_anterior")), "atual": currency(x("valor_periodo_atual")),
+    }
 
 
-def top_three(facts: Facts, by):
-    rows = facts.concentration.filter((F.col("quantidade_fornecedores") >= 3) & (F.col("top_3_percentual") >= 70))
-    return _advice(rows, by, 2, nomes=F.col("tres_maiores"), percentual=fixed(F.col("top_3_percentual"), 1))
+def _change_rule(number: int, when: Callable[[Callable[[str], Column]], Column]) -> Rule:
+    return Rule(number, when, _change_values, lambda x: -x("variacao_absoluta"))
 
 
-def high_index(facts: Facts, by):
-    rows = facts.concentration.filter((F.col("indice_hhi") > 2500) & (F.col("quantidade_fornecedores") >= 2))
-    return _advice(rows, by, 3, hhi=F.format_number("indice_hhi", 0))
+# New, sharply risen and sharply fallen suppliers
+CHANGE_RULES: list[Rule] = [
+    _change_rule(14, lambda x: x("situacao") == "Novo"),
+    _change_rule(15, lambda x: (x("situacao") != "Novo") & (x("variacao_percentual") >= 40)),
+    _change_rule(16, lambda x: (x("situacao") != "Novo") & (x("variacao_percentual") <= -40)),
+]
 
 
-def few_suppliers(facts: Facts, by):
-    rows = facts.concentration.filter(F.col("quantidade_fornecedores").between(1, 3))
-    return _advice(rows, by, 4, quantidade=F.col("quantidade_fornecedores"))
+def _can_merge(quantity: Column, category: Column) -> Column:
+    return (quantity >= 2) & ~category.startswith("Outros")
 
 
-def dominant_category(facts: Facts, by):
-    first = facts.categories.groupBy(*by).agg(
-        F.min_by(
-            F.struct("categoria", "total", "quantidade_fornecedores", "percentual_do_total"),
-            F.struct(-F.col("total"), F.col("categoria")),
-        ).alias("_c")
-    )
-    rows = first.select(*by, "_c.*").filter(
-        (F.col("percentual_do_total") >= 50) & ~F.col("categoria").startswith("Outros")
-    )
-    return _advice(
-        rows, by, 5, categoria=F.col("categoria"), percentual=fixed(F.col("percentual_do_total"), 1),
-        quantidade=F.col("quantidade_fornecedores"),
+def _category_facts(categories: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The largest category of each key and those that can be merged; a key has a fixed, short list of categories."""
+    own = F.struct("categoria", "total", "quantidade_fornecedores", "percentual_do_total")
+    return categories.groupBy(*by).agg(
+        F.min_by(own, F.struct(-F.col("total"), F.col("categoria"))).alias("principal"),
+        F.collect_list(F.when(_can_merge(F.col("quantidade_fornecedores"), F.col("categoria")), own)).alias("consolidaveis"),
     )
 
 
-def merge_category(facts: Facts, by):
-    """The sentence counts the suppliers; their names are the rows of :func:`merge_names`."""
-    rows = _mergeable(facts)
-    return _advice(
-        rows, by, 6, -F.col("total"), categoria=F.col("categoria"), quantidade=F.col("quantidade_fornecedores"),
-        nomes=F.lit(NAMES_ELSEWHERE), total=currency(F.col("total")),
-    )
+def _wide(facts: Facts, by: Sequence[str]) -> DataFrame:
+    """One row a key that any table has, with all of its facts; every table is read once."""
+    keys = facts.documents if facts.documents is not None else facts.indicators
+    tables = [facts.concentration, None if facts.categories is None else _category_facts(facts.categories, by)]
+    if facts.documents is not None:
+        tables.append(facts.indicators)
+    if not by:
+        keys, tables = keys.withColumn("_k", F.lit(1)), [t if t is None else t.withColumn("_k", F.lit(1)) for t in tables]
+    for table in tables:
+        if table is not None:
+            keys = keys.join(table, list(by) or ["_k"], "full")
+    return keys
+
 
+def _spoken(rows: DataFrame, by: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
+    """The advice of each row: all rules in one array, of which those that speak become rows."""
+    single = F.array_compact(F.array(*[r.advice(F.col) for r in rules if r.each is None]))
+    parts = [single] if any(r.each is None for r in rules) else []
+    for rule in rules:
+        if rule.each is not None:
+            found = F.transform(F.coalesce(F.col(rule.each), F.array()), lambda item: rule.advice(lambda name: item[name]))
+            parts.append(F.array_compact(found))
+    advice = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return rows.select(*by, F.explode_outer(advice).alias("_c")).filter(F.col("_c").isNotNull()).select(*by, "_c.*")
 
-def _mergeable(facts: Facts) -> DataFrame:
-    return facts.categories.filter((F.col("quantidade_fornecedores") >= 2) & ~F.col("categoria").startswith("Outros"))
+
+def period_changes(facts: Facts, by: Sequence[str]) -> DataFrame:
+    """Advice on new, sharply risen and sharply fallen suppliers."""
+    return _spoken(facts.changes, list(by), CHANGE_RULES)
 
 
 def merge_names(facts: Facts, by: Sequence[str]) -> DataFrame:
     """The suppliers that rule 6 speaks of, largest first, one row each in any number."""
     by = list(by)
-    rows = facts.members.join(_mergeable(facts).select(*by, "categoria"), [*by, "categoria"], "left_semi")
+    mergeable = facts.categories.filter(_can_merge(F.col("quantidade_fornecedores"), F.col("categoria")))
+    rows = facts.members.join(mergeable.select(*by, "categoria"), [*by, "categoria"], "left_semi")
     placed = ranked(rows, [*by, "categoria"], [F.desc(MOVEMENT), F.asc("seq")], position="posicao")
     return placed.select(*by, F.lit(6).alias("regra"), "categoria", "posicao", F.col("nome_curto").alias("nome"))
 
 
-def low_liquidity(facts: Facts, by):
-    rows = facts.indicators.filter(F.col("liquidez_corrente") < 1)
-    return _advice(rows, by, 7, liquidez=fixed(F.col("liquidez_corrente"), 2))
-
-
-def idle_cash(facts: Facts, by):
-    times = F.col("caixa").cast("double") / F.col("passivo_circulante").cast("double")
-    rows = facts.indicators.filter((F.col("caixa") > 0) & (F.col("passivo_circulante") > 0)).filter(times >= 10)
-    return _advice(
-        rows, by, 8, caixa=currency(F.col("caixa")), razao=fixed(times, 0), passivo=currency(F.col("passivo_circulante"))
-    )
-
-
-def negative_capital(facts: Facts, by):
-    rows = facts.indicators.filter(F.col("capital_de_giro") < 0)
-    return _advice(rows, by, 9, capital=currency(F.abs(F.col("capital_de_giro"))))
-
-
-def margin_too_high(facts: Facts, by):
-    rows = facts.indicators.filter(F.col("margem_liquida") >= 90)
-    return _advice(rows, by, 10, margem=fixed(F.col("margem_liquida"), 1))
-
-
-def margin_low(facts: Facts, by):
-    rows = facts.indicators.filter(F.col("margem_liquida") < 5)
-    return _advice(rows, by, 11, margem=fixed(F.col("margem_liquida"), 1))
-
-
-def no_suppliers(facts: Facts, by):
-    return _advice(facts.documents.join(facts.concentration, list(by), "left_anti"), by, 12)
-
-
-def good_practice(facts: Facts, by):
-    return _advice(facts.concentration, by, 13)
-
-
-def period_changes(facts: Facts, by):
-    """New, sharply risen and sharply fallen suppliers."""
-    changes = facts.changes
-    order = -F.col("variacao_absoluta")
-    percent = F.col("variacao_percentual")
-    values = {
-        "nome": F.col("nome"),
-        "percentual": fixed(F.abs(percent), 0),
-        "anterior": currency(F.col("valor_periodo_anterior")),
-        "atual": currency(F.col("valor_periodo_atual")),
-    }
-    new = changes.filter(F.col("situacao") == "Novo")
-    known = changes.filter(F.col("situacao") != "Novo")
-    return (
-        _advice(new, by, 14, order, **values)
-        .unionByName(_advice(known.filter(percent >= 40), by, 15, order, **values))
-        .unionByName(_advice(known.filter(percent <= -40), by, 16, order, **values))
-    )
-
-
-Rule = Callable[[Facts, Sequence[str]], DataFrame]
-
-# Add a rule here to have it run; its number and texts live in `messages`.
-RULE_SET: list[Rule] = [
-    single_supplier, top_three, high_index, few_suppliers, dominant_category, merge_category, low_liquidity,
-    idle_cash, negative_capital, margin_too_high, margin_low, no_suppliers, good_practice,
-]
-
-
 def advise(facts: Facts, by: Sequence[str], rules: Sequence[Rule] | None = None) -> DataFrame:
     """All advice of all keys. ``peso``, ``regra`` and ``ordem_na_regra`` give the reading order."""
-    parts = [rule(facts, by) for rule in (RULE_SET if rules is None else rules)]
-    if facts.changes is not None:
-        parts.append(period_changes(facts, by))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    by = list(by)
+    out = _spoken(_wide(facts, by), by, RULE_SET if rules is None else rules)
+    return out if facts.changes is None else out.unionByName(period_changes(facts, by))
 
 
 def ordered_advice(advice: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -139,10 +139,8 @@ def _by_name(suppliers: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def compare_periods(previous: DataFrame, current: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Change of each supplier between two periods, new and ended ones included."""
-    before, now = _by_name(previous, by, "_a"), _by_name(current, by, "_b")
-    both = before.join(now, [*by, "_nome"], "full_outer")
+def _changes(both: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Change from ``_a`` to ``_b`` of each supplier; either may be null."""
     zero = F.lit(0).cast("decimal(28,2)")
     old, new = F.coalesce(F.col("_a.valor"), zero), F.coalesce(F.col("_b.valor"), zero)
     change = new - old
@@ -158,12 +156,27 @@ def compare_periods(previous: DataFrame, current: DataFrame, by: Sequence[str])
     )
 
 
+def compare_periods(previous: DataFrame, current: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Change of each supplier between two periods, new and ended ones included."""
+    before, now = _by_name(previous, by, "_a"), _by_name(current, by, "_b")
+    return _changes(before.join(now, [*by, "_nome"], "full_outer"), by)
+
+
 def compare_latest(suppliers: DataFrame, company: str, period: str) -> DataFrame:
-    """:func:`compare_periods` on the last two periods of every company."""
-    picked = suppliers.join(last_two_periods(suppliers, company, period), [company, period])
-    return compare_periods(
-        picked.filter(F.col("ordem") == 2), picked.filter(F.col("ordem") == 1), [company]
-    )
+    """:func:`compare_periods` on the last two periods of every company.
+
+    The rows are read once and summed by supplier and period, each map task for itself first, so a large
+    company or supplier is no single task's. A supplier keeps its own last two periods: those of the
+    company are among them wherever the supplier has any rows in these. What is joined is one row a supplier
+    with one row a company.
+    """
+    values = _by_name(suppliers, [company, period], "_v")
+    own = F.sort_array(F.collect_list(F.struct(F.col(period).alias("p"), F.col("_v").alias("v"))), asc=False)
+    latest = values.groupBy(company, "_nome").agg(F.slice(own, 1, 2).alias("_p"))
+    ends = latest.select(company, F.explode("_p.p").alias("p")).groupBy(company).agg(F.sort_array(F.collect_set("p"), asc=False).alias("_fim"))
+    at = lambda k: F.get(F.filter("_p", lambda x: x["p"] == F.get(F.col("_fim"), F.lit(k))), F.lit(0))["v"]
+    both = latest.join(ends, company).select(company, at(1).alias("_a"), at(0).alias("_b"))
+    return _changes(both.filter(F.col("_a").isNotNull() | F.col("_b").isNotNull()), [company])
 
 
 def changed_only(changes: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def supplier_analysis(
     shares = s.concentration(suppliers, by)
     categories = s.category_summary(suppliers, by)
     facts = Facts(
-        documents=indicators.select(*by),
+        documents=None,
         concentration=shares,
         categories=categories,
         members=s.category_members(suppliers, by),

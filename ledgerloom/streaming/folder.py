@@ -1,7 +1,7 @@
 """New documents of a folder, each processed once.
 
-The file source remembers in its checkpoint which files it has seen; a run handles what is
-new and stops. There is no event time in the data, hence no watermark.
+The file source remembers in its checkpoint which paths it has seen; a run handles what is
+new and stops. Uploads are also told by name and size, whatever folder they come in.
 """
 
 from __future__ import annotations
@@ -25,11 +25,22 @@ def stream_texts(spark: SparkSession, folder: str, pattern: str = "*.txt", files
 
 def stream_files(spark: SparkSession, folder: str, pattern: str = "*.csv", files_per_batch: int | None = None) -> DataFrame:
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern)
+    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     found = reader.load(folder)
-    return found.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("nome"), "content")
+    return found.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("nome"), "length", "modificationTime", "content")
+
+
+def each_once(files: DataFrame, forget_after: str | None = None) -> DataFrame:
+    """Uploads of a stream whose name and size no earlier one has, in this run or any before.
+
+    The names taken are keyed state in the checkpoint. They are kept for good, or, with ``forget_after``
+    (such as ``"90 days"``), until files that much newer have come.
+    """
+    if forget_after is None:
+        return files.dropDuplicates(["nome", "length"])
+    return files.withWatermark("modificationTime", forget_after).dropDuplicatesWithinWatermark(["nome", "length"])
 
 
 def _run(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -57,8 +68,8 @@ def ingest_trial_balances(
     return _run(stream_texts(spark, folder), checkpoint, handle)
 
 
-def ingest_uploads(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """New files to ``out/registros``, ``out/erros`` and ``out/arquivos``."""
+def ingest_uploads(spark: SparkSession, folder: str, out: str, checkpoint: str, forget_after: str | None = None) -> StreamingQuery:
+    """New files to ``out/registros``, ``out/erros`` and ``out/arquivos``, each upload once (:func:`each_once`)."""
 
     def handle(batch: DataFrame, number: int) -> None:
         data = prepare(batch).stored()
@@ -68,7 +79,7 @@ def ingest_uploads(spark: SparkSession, folder: str, out: str, checkpoint: str)
         data.registros.drop("_contabil", "_nomes").write.mode("overwrite").parquet(f"{out}/registros/{target}")
         data.erros.write.mode("overwrite").parquet(f"{out}/erros/{target}")
 
-    return _run(stream_files(spark, folder), checkpoint, handle)
+    return _run(each_once(stream_files(spark, folder), forget_after), checkpoint, handle)
 
 
 def any_success(status: DataFrame) -> bool:

@@ -278,8 +278,9 @@ def test_ledger_files_and_sinks(spark, tmp_path):
         tables.read_ledger(spark, "x.ods")
     assert tables.combine_tables([csv, tsv.withColumn("mais", F.lit(1))]).columns[-1] == "mais"
     lines = spark.createDataFrame([("e/1", i, f"linha {i} é") for i in range(1, 40)], "empresa string, linha int, texto string")
-    sinks.write_lines(lines.repartition(4), str(tmp_path / "out"), ["empresa"])
-    parts = sorted((tmp_path / "out" / "empresa=e_1").glob("part-*"))
+    sinks.write_lines(lines.repartition(4), str(tmp_path / "out"), ["empresa"], lines_per_file=7)
+    parts = sorted((tmp_path / "out" / "empresa=e_1").glob("parte=*/part-*"))
+    assert len(parts) == 6
     text = "".join(p.read_text(encoding="utf-8") for p in parts)
     assert text.splitlines() == [f"linha {i} é" for i in range(1, 40)]
     sinks.write_records(csv.withColumn("empresa", F.lit("x")), str(tmp_path / "rec"), ["empresa"])
@@ -287,6 +288,34 @@ def test_ledger_files_and_sinks(spark, tmp_path):
     assert sinks.safe_name("06/2026 – x") == "06_2026_x"
 
 
+def test_sinks_evaluate_their_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    def rows(schema, n=50):
+        made = spark.range(n).selectExpr("CAST(id % 3 AS string) AS empresa", "CAST(id + 1 AS int) AS linha", "concat('t', id) AS texto", "'s' AS secao", "concat('{', id, '}') AS json")
+        return made.select(*schema).mapInPandas(counted, made.select(*schema).schema)
+
+    sinks.write_records(rows(["empresa", "texto"]), str(tmp_path / "a"), ["empresa"])
+    sinks.write_lines(rows(["empresa", "linha", "texto"]), str(tmp_path / "b"), ["empresa"])
+    sinks.write_json_lines(rows(["empresa", "secao", "json"]), str(tmp_path / "c"), ["empresa"])
+    assert seen.value == 150
+    assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.text(str(tmp_path / "b")).count() == spark.read.text(str(tmp_path / "c")).count() == 50
+
+
+def test_upload_statistics_read_the_files_once(spark):
+    rows = [(name, name, len(text), bytearray(text.encode())) for name, text in ODD_FILES.items()]
+    files_read = spark.createDataFrame(rows, "doc_id string, nome string, length long, content binary").repartition(2)
+    data = prepare(files_read)
+    for table in (data.estatisticas, data.metadados, data.registros, data.avisos):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and plan.count("Join") == 0
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     source, out, mark = (tmp_path / n for n in ("in", "out", "mark"))
     source.mkdir()
@@ -310,3 +339,20 @@ def test_stream_uploads(spark, tmp_path):
     folder.ingest_uploads(spark, str(source), str(tmp_path / "out"), str(tmp_path / "mark"))
     assert spark.read.parquet(str(tmp_path / "out" / "registros")).count() == 2
     assert spark.read.parquet(str(tmp_path / "out" / "erros")).count() == 1
+
+
+def test_a_renamed_folder_brings_no_upload_twice(spark, tmp_path):
+    source = tmp_path / "in"
+    (source / "maio").mkdir(parents=True)
+    (source / "maio" / "a.csv").write_bytes(FILES["a.csv"])
+    run = lambda: folder.ingest_uploads(spark, str(source), str(tmp_path / "out"), str(tmp_path / "mark"))
+    run()
+    (source / "maio").rename(source / "junho")
+    (source / "junho" / "b.csv").write_bytes(FILES["b.CSV"])
+    (source / "copia").mkdir()
+    (source / "copia" / "a.csv").write_bytes(FILES["a.csv"])
+    run()
+    run()
+    taken = spark.read.parquet(str(tmp_path / "out" / "arquivos"))
+    assert sorted(r.nome for r in taken.collect()) == ["a.csv", "b.csv"]
+    assert spark.read.parquet(str(tmp_path / "out" / "registros")).count() == 3
