@@ -22,7 +22,7 @@ def read_ledger(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """Extracted document texts, one row per file (``doc_id`` is the path)."""
-    found = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    found = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return found.selectExpr("_metadata.file_path AS doc_id", "_metadata.file_name AS nome", "value AS texto")
 
 

@@ -1,8 +1,8 @@
 """Registered queries and the SQL each is checked against, by subject."""
 
-from registry import analysis, documents, reports, scalars, statements, suppliers, uploads
+from registry import analysis, documents, files, reports, scalars, statements, suppliers, uploads
 
-MODULES = (analysis, suppliers, documents, uploads, scalars, statements, reports)
+MODULES = (analysis, suppliers, documents, uploads, scalars, statements, reports, files)
 
 
 def all_queries():
