@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -131,13 +132,28 @@ def test_second_round_links_what_hubs_do_not(spark, monkeypatch):
 
 
 def test_band_plans_miss_nothing():
-    for band in range(2, 20):
+    """Differences and common shingles fall into the parts of one first-level partition at random; all but one part must stay whole, and hold something."""
+    draw = np.random.default_rng(7)
+    for band in range(2, 18):
         partitions, taken, times = jaccard_join.band_plan(band)
-        largest = 2 ** (band + 1) - 1
-        differ = 50 * largest / 175
-        common = largest - differ / 2
-        agree = (1 - 1 / partitions) ** differ * (1 - (1 - 1 / partitions) ** common)
-        assert (1 - agree) ** (taken * times) < 1e-10
+        largest, level = 2 ** (band + 1) - 1, jaccard_join.LEVEL
+        differ = math.ceil(50 * largest / 175)
+        inside = [1 / (level * partitions)] * level + [1 - 1 / partitions]
+        hit = draw.multinomial(differ, inside, 200_000)[:, :level] > 0
+        held = draw.multinomial(int(largest - differ / 2), inside, 200_000)[:, :level] > 0
+        agree = np.mean([any(not hit[k][subset].any() and held[k][subset].any() for subset in ([0, 1], [0, 2], [1, 2])) for k in range(20_000)])
+        assert (1 - agree) ** (taken * times) < 1e-9, band  # 1e-11 by the plan; the draw is off by a little
+
+
+def test_pairs_at_the_threshold_share_a_signature():
+    draw = np.random.default_rng(11)
+    for n in (4, 7, 8, 15, 16, 40, 130, 300, 1100):
+        for _ in range(40):
+            swapped = (25 * n) // 175  # the most that may differ on either side
+            base = draw.integers(1, 2**63, n + swapped, dtype=np.uint64)
+            sets = [np.sort(base[:n]), np.sort(base[swapped:])]
+            numbers, ids = jaccard_join.signatures(np.concatenate(sets), np.array([0, n, 2 * n]), np.array([1, 2]))
+            assert set(numbers[ids == 1].tolist()) & set(numbers[ids == 2].tolist())
 
 
 def test_components_of_a_chain_and_a_star(spark):
