@@ -13,7 +13,8 @@ from ledgerloom.plans.supplier import account_rows, read_supplier_documents, sup
 from ledgerloom.plans.upload import prepare
 from ledgerloom.session import ensure_checkpoint_dir
 from registry.common import BY, FULL, LEDGER, plain
-from registry.suppliers_sql import IND, _DOC_CON, _DOC_RULES
+from registry.reports_sql import BUNDLE, DATASET, supplier_report
+from registry.suppliers_sql import IND, SQL as SUPPLIER_SQL, _DOC_CON, _DOC_RULES
 
 
 def _dirty_ledger(spark, folder):
@@ -278,6 +279,9 @@ UNION ALL SELECT DISTINCT 'categoria', categoria FROM ledger UNION ALL SELECT DI
   CASE WHEN o_orderpriority = '2-HIGH' THEN 'receita' ELSE 'despesa' END AS tipo,
   CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 10.5 ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS valor FROM orders""",
     "report_lines": f"{NUMBERED} SELECT empresa, periodo, secao, row_number() OVER (PARTITION BY empresa, periodo ORDER BY secao, lugar, k) AS linha, texto FROM postas",
+    "bundle_json": BUNDLE,
+    "dataset_json": DATASET,
+    "supplier_report_lines": supplier_report(SUPPLIER_SQL["supplier_header"]),
     "report_text": f"{REPORT} SELECT empresa, periodo, secao, texto FROM linhas",
     "executive_summary": f"""{IND}{_DOC_CON}, adv AS (SELECT doc_id, count(*) AS n FROM ({_DOC_RULES}) GROUP BY ALL),
 ct AS (SELECT f.doc_id, CAST(sum(mov) / 100 AS DOUBLE) AS total, CAST(sum(atual) / 100 AS DOUBLE) AS aberto FROM f GROUP BY ALL),
