@@ -25,6 +25,8 @@ SAMPLE_ROWS, BUCKETS, SPAN = 8_000, 1 << 16, 3
 STRENGTH, UNSEEN = 10.0, 0.5
 #: Share of rows expected in no language, and the least posterior that is kept.
 UNKNOWN, LEAST = 1e-3, 0.5
+#: A host is dealt over salts from one part in so many of a partition's share of all rows.
+PARTS = 4
 UND = "und"
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -153,8 +155,10 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     shown = _softmax(F.zip_with("likelihood", F.array(*map(F.lit, start)), lambda x, y: x + y))
     narrow = scored.select("likelihood", "letters", *[F.col(f"rest.{c}").alias(c) for c in ("declared", "host", "domain", "suffix")], shown.alias("shown"))
     # what the texts show by host and declaration: a few rows a host, from which all priors roll up
-    seen = scratch.stored(narrow.where(F.col("letters") > 0).groupBy("suffix", "domain", "host", "declared").agg(F.array(*[F.sum(F.col("shown")[k]) for k in range(width)]).alias("shown")), "shown")
-    overall = seen.agg(*[F.sum(F.col("shown")[k]).alias(f"n{k}") for k in range(width)]).first()
+    lettered = [F.coalesce(F.sum(F.when(F.col("letters") > 0, F.col("shown")[k])), F.lit(0.0)) for k in range(width)]
+    seen = scratch.stored(narrow.groupBy("suffix", "domain", "host", "declared").agg(F.array(*lettered).alias("shown"), F.count("*").alias("rows")), "shown")
+    overall = seen.agg(*[F.sum(F.col("shown")[k]).alias(f"n{k}") for k in range(width)], F.sum("rows").alias("rows")).first()
+    all_rows = overall["rows"] or 1
     sums = np.array([overall[k] or 0.0 for k in range(width)])
     overall = (sums + np.exp(start)) / (sums.sum() + 1)
     by_declared = {r["declared"]: np.array(r["n"]) for r in seen.groupBy("declared").agg(*_sums([], width)).collect()}  # a row a language at most
@@ -166,10 +170,15 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     by_suffix = _smoothed(seen, wide, ["suffix"], ["suffix"], width, "prior")
     by_domain = _smoothed(seen, by_suffix, ["suffix", "domain"], ["suffix"], width, "prior")
     by_host = _smoothed(seen, by_domain, ["suffix", "domain", "host"], ["suffix", "domain"], width, "prior")
-    # a host may have a third of all rows: the few columns of the rows are dealt by host and salt
-    salts = max(1, partitions)
-    priors = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(min(salts, 64) - 1))))
-    rows = scored.select("likelihood", "letters", "rest.*").withColumn("salt", F.pmod(F.xxhash64("likelihood"), F.lit(min(salts, 64))).cast("int"))
+    # a host may have a third of all rows: hosts of more than a part of a partition's share are dealt over salts
+    place, parts = F.xxhash64("suffix", "domain", "host").alias("place"), PARTS * partitions
+    counts = seen.groupBy(place).agg(F.sum("rows").alias("n"))
+    # fewer than `parts` hosts can have more than that share: a hash and a number each
+    hot = F.broadcast(counts.where(F.col("n") * parts > all_rows).select("place", F.ceil(F.col("n") * parts / all_rows).cast("int").alias("salts")))
+    dealt = lambda df: df.withColumn("place", place).join(hot, "place", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).drop("place")
+    priors = dealt(by_host).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    hashed = [f"row.`{c.name.replace('`', '``')}`" for c in docs.schema if not any(k in c.dataType.simpleString() for k in ("map<", "variant"))]
+    rows = dealt(scored.select("likelihood", "letters", "rest.*")).withColumn("salt", F.pmod(F.xxhash64("likelihood", *hashed), F.col("salts")).cast("int")).drop("salts")
     joined = rows.join(priors, ["suffix", "domain", "host", "salt"], "left")
     prior = F.coalesce("prior", F.array(*[F.lit(float(x)) for x in overall]))
     fused = F.zip_with(F.zip_with("likelihood", prior, lambda x, y: x + F.log(y)), F.element_at(said, F.col("declared")), lambda x, y: x + y)

@@ -9,6 +9,7 @@ take their places by rank within their length, counted over salted groups.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import scratch, tokens, words
 
-#: Groups into which the pieces of one length are dealt, so that a length that many share is no single task's.
-SALTS = 256
+#: About so many pieces of one length are ranked in one group, so that a length that many share is no single task's.
+GROUP = 512
 #: Candidate combinations for least squares of each depth, the commonest lengths first, and its rounds.
 COMBINATIONS, ROUNDS = 20_000, 200
 
@@ -30,22 +31,35 @@ Slot = tuple[int, int, int, int, int, int, int]
 
 
 def combinations(histogram: np.ndarray, window: int, most: int = COMBINATIONS) -> list[tuple[int, ...]]:
-    """Combinations of one to four present lengths that fill the window exactly, at most so many of each depth."""
+    """Combinations of one to four present lengths that fill the window exactly.
+
+    Not all of them: of three lengths those around the commonest, of four the commonest pairs of each two sums, at most
+    about `most` of each. Pieces that no combination takes are packed greedily.
+    """
     present = [int(n) for n in np.flatnonzero(histogram)]
     have = set(present)
     common = sorted(present, key=lambda n: (-histogram[n], n))
     out: set[tuple[int, ...]] = {(window,)} & {(n,) for n in present}
     out |= {(a, window - a) for a in present if 2 * a >= window and window - a in have}
-    for depth in (3, 4):
-        found: set[tuple[int, ...]] = set()
-        # a filler of depth - 2 common lengths, and a pair of any lengths around it
-        for size in range(1, len(common) + 1):
-            fill = (common[size - 1],) * (depth - 2)
-            left = window - sum(fill)
-            found |= {tuple(sorted((*fill, a, left - a), reverse=True)) for a in present if 2 * a >= left and left - a in have}
-            if len(found) >= most:
-                break
-        out |= found
+    found: set[tuple[int, ...]] = set()
+    for middle in common:  # and a pair of any lengths around it
+        left = window - middle
+        found |= {tuple(sorted((middle, a, left - a), reverse=True)) for a in present if 2 * a >= left and left - a in have}
+        if len(found) >= most:
+            break
+    lengths, each = np.array(present, np.int64), max(1, math.isqrt(2 * most // window))
+
+    def pairs(total: int) -> list[tuple[int, int]]:
+        """Pairs of lengths of this sum, the commonest first."""
+        high = lengths[(2 * lengths >= total) & (lengths < total)]
+        high = high[histogram[total - high] > 0]
+        order = np.argsort(-np.minimum(histogram[high], histogram[total - high]), kind="stable")[:each]
+        return [(int(n), total - int(n)) for n in high[order]]
+
+    for total in range(2, window // 2 + 1):
+        if one := pairs(total):
+            found |= {tuple(sorted(a + b, reverse=True)) for a in one for b in pairs(window - total)}
+    out |= found
     return sorted(out, reverse=True)
 
 
@@ -229,11 +243,14 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     kind = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length int, doc_tokens long, ids binary"
     pieces = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(words.frugal(_encoded(vocabulary or tokens.vocabulary_path(), end, window)), schema)
-    pieces = scratch.stored(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")), "pieces")
-    groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    pieces = scratch.stored(pieces, "pieces")
     histogram = np.zeros(window + 1, np.int64)
-    for row in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row a length, at most `window`
+    for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # a row a length, at most `window`
         histogram[row["length"]] = row["n"]
+    salts = spark.createDataFrame([(int(n), int(-(-histogram[n] // GROUP))) for n in np.flatnonzero(histogram)], "length int, salts int")
+    # at most `window` rows are broadcast
+    pieces = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
+    groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "doc_tokens", F.xxhash64("ids"))

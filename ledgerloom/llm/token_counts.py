@@ -71,9 +71,9 @@ def token_counts(docs: DataFrame, cache: str, text: str = "text", vocabulary: st
     return keyed.join(counts, "__digest", "left").withColumn("n_tokens", F.col("__n_tokens")).drop("__digest", "__n_tokens")
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, with a cache of this run's own."""
+def op10_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """Tokens of every document; without a folder of stored counts, the run has one of its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     narrow = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
-    counted = token_counts(narrow, scratch.new_path(spark, "token-counts"))
+    counted = token_counts(narrow, cache or scratch.new_path(spark, "token-counts"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))

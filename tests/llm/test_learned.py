@@ -109,6 +109,51 @@ def test_priors_and_declarations_decide_where_texts_do_not(spark):
     assert (found[90], found[91]) == ("fr", "de")
 
 
+def plainly(model, rows):
+    """Languages by one row after the other: (text, declared, host) -> (language, posterior)."""
+    names, width = [*model.languages, language_id.UND], len(model.languages) + 1
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([r[0] for r in rows], pa.string()), "rest": pa.array(range(len(rows)))})
+    likely, letters = zip(*[(x["likelihood"], x["letters"]) for out in language_id._likely(model)(iter([batch])) for x in out.to_pylist()], strict=True)
+    start = np.array([math.log((1 - language_id.UNKNOWN) / (width - 1))] * (width - 1) + [math.log(language_id.UNKNOWN)])
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    shown = [softmax(np.array(x) + start) if n else np.zeros(width) for x, n in zip(likely, letters, strict=True)]
+    keys = [(r[1] or "", r[2] or "") for r in rows]
+    total = sum(shown)
+    overall = (total + np.exp(start)) / (total.sum() + 1)
+    prior = {}
+    for host in {k[1] for k in keys}:
+        seen = sum(x for x, k in zip(shown, keys, strict=True) if k[1] == host)
+        prior[host] = overall
+        for _ in range(3):  # suffix, domain and host are the same here
+            prior[host] = (seen + language_id.STRENGTH * prior[host]) / (seen.sum() + language_id.STRENGTH)
+    given = np.array([sum((x for x, k in zip(shown, keys, strict=True) if k[0] == name), np.zeros(width)) for name in [*names, ""]]) + language_id.UNSEEN
+    said = np.log(given / given.sum(0))
+    said[-1] = 0
+    out = []
+    for x, n, (declared, host) in zip(likely, letters, keys, strict=True):
+        fused = softmax(np.array(x) + np.log(prior[host]) + said[[*names, ""].index(declared if declared in names else "")])
+        out.append((names[int(fused.argmax())], fused.max()) if n else (language_id.UND, 0.0))
+    return out
+
+
+def test_languages_row_for_row_with_hot_and_empty_hosts(spark, monkeypatch):
+    c = language_id.F.col
+    learnt = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language_id.learn_text(learnt)
+    # one host has most rows, many of them without text
+    rows = [(r["text"], r["lang"] if i % 3 else None, "big" if i % 4 else f"h{i % 7}") for i, r in enumerate(learnt.collect())]
+    rows += [("", "en", "big")] * 40 + [(None, None, "mute")] * 10 + [("a", None, "big"), ("b c", "fr", None)]
+    want = plainly(model, rows)
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, said string, host string")
+    docs = docs.withColumn("extra", language_id.F.create_map(language_id.F.lit("a"), c("doc_id")))
+    for parts in (0, 4, 1000):
+        monkeypatch.setattr(language_id, "PARTS", parts)
+        got = sorted(language_id.identify(docs, model, c("text"), c("said"), c("host"), c("host"), c("host")).collect(), key=lambda r: r["doc_id"])
+        assert [r["doc_id"] for r in got] == list(range(len(rows)))
+        assert [r["language"] for r in got] == [w[0] for w in want]
+        assert np.allclose([r["posterior"] for r in got], [w[1] for w in want], atol=1e-6)
+
+
 def test_scores_and_base(spark):
     rows = QUERIES["op3_context_mixing"](spark, SMALL).collect()
     texts = {r["doc_id"]: [*brute.SPACED.findall((r["text"] or "").translate(brute.FOLD)), "\n"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}

@@ -104,3 +104,21 @@ def test_least_squares_repeats_what_the_histogram_has():
     assert (40, 24) in patterns and (32, 32) in patterns
     found = dict(zip(patterns, packing.repeat_counts(histogram, patterns), strict=True))
     assert abs(found[40, 24] - 100) < 1 and abs(found[32, 32] - 30) < 1
+
+
+def test_four_different_lengths_make_a_pattern():
+    histogram = np.zeros(65, np.int64)
+    histogram[[5, 9, 20, 30]] = 7  # only all four together fill a window
+    assert packing.combinations(histogram, 64) == [(30, 20, 9, 5)]
+    assert packing.repeat_counts(histogram.astype(float), [(30, 20, 9, 5)]).round(3).tolist() == [7.0]
+
+
+def test_stored_counts_are_taken_by_the_query(spark, tmp_path):
+    from ledgerloom.llm import token_counts, tokens
+
+    cache, folder = str(tmp_path / "cache"), "/root/testdata/sf0.001"
+    first = sorted(map(tuple, token_counts.op10_token_counts(spark, folder, cache).collect()))
+    stored = token_counts.read_cache(spark, cache, tokens.version(tokens.vocabulary_path())).count()
+    size = spark.read.parquet(cache).count()
+    assert sorted(map(tuple, token_counts.op10_token_counts(spark, folder, cache).collect())) == first
+    assert stored == size == spark.read.parquet(cache).count()
