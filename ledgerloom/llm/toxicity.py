@@ -1,11 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are looked up in classes: insults (whole words and stems, weighed by what labelled rows say),
-threats, targets, negation and reported speech. One automaton, written by hand, reads a clause's
-classes from left to right; its state says whether a negation is near, whether speech is reported and
-whether somebody is addressed, and each insult or threat adds its weight as the state has it. The score is a
-logistic function of what the matched clauses weigh, fitted to rows that the lexicon
-they are read with has not seen.
+A lexicon transducer reads words as classes: insults (phrases, words and stems), threats, targets, negation
+and reported speech; transducers for address, report and denial, composed into one, weigh what it matches
+in each clause (`clause_grammar`). Insults are learnt from labelled rows, and threats too: words that tell
+toxic rows only where their clause addresses somebody. The score is a logistic function of what the clauses
+weigh, fitted to rows that the lexicon they are read with has not seen.
 """
 
 from __future__ import annotations
@@ -15,191 +14,123 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import words
+from ledgerloom.llm import clause_grammar, scratch, words
+from ledgerloom.llm.clause_grammar import INSULT, TARGET, THREAT, Lexicon
 from ledgerloom.llm.labelled import labelled, remainder
 
-#: Labelled rows to learn from, at most about; entries of the learnt lexicon; bytes of a stem.
-SAMPLE_ROWS, LEXICON = 20_000, 4096
+#: Labelled rows to learn from, at most about; bytes of a stem.
+SAMPLE_ROWS = 20_000
 STEMS = range(3, 11)
 #: Toxic rows that an entry must have been seen in, and its least log odds, less one standard error.
 SUPPORT, ODDS = 4, 2.5
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(1, 6)
-
-# Seed words, fixed.
-SEEDS = {
-    INSULT: "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown vermin filth",
-    THREAT: "kill hurt beat destroy die shoot stab burn töten umbringen tuer frapper matar golpear",
-    TARGET: "you your yours u he she they them du dich ihr euch vous toi tu te tú usted ustedes",
-    NEGATION: "not no never neither nor nobody isn't aren't wasn't don't nicht kein keine nie pas jamais ni nunca",
-    REPORT: "said says claimed reported quoted wrote called sagte sagt meinte dit disait selon dijo dice según",
-}
-#: Weight of a seed word, and factors of the automaton: addressed, denied, reported; reach of a negation in words.
-SEED_WEIGHT, ADDRESSED, DENIED, REPORTED, REACH = 1.0, 1.25, 0.25, 0.6, 3
-
-_BREAK = np.zeros(256, bool)
-_BREAK[[ord(c) for c in ".!?;\n"]] = True
 
 
 @dataclass
 class Grammar:
-    """Keys of words (even) and of stems (odd) with class and weight, sorted, and the score's coefficients."""
+    """The lexicon and the score's coefficients."""
 
-    keys: np.ndarray
-    kinds: np.ndarray
-    weights: np.ndarray
+    lexicon: Lexicon
     coefficients: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(self.keys >> np.uint64(46)).astype(np.int64)] = True
-
-    def entries(self, keys: np.ndarray) -> np.ndarray:
-        """The entry of each key, -1 where there is none."""
-        out = np.full(len(keys), -1)
-        near = np.flatnonzero(self.maybe[(keys >> np.uint64(46)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, keys[near]), len(self.keys) - 1)
-        out[near] = np.where(self.keys[at] == keys[near], at, -1)
-        return out
-
-
-def _plain(data: np.ndarray) -> np.ndarray:
-    """The bytes with typographic apostrophes as plain ones, three for each, so that both end a word."""
-    at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] == 0x99))
-    if len(at):
-        data = data.copy()
-        data[at[:, None] + np.arange(3)] = 0x27
-    return data
-
 
-def _contracted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of words that an apostrophe alone parts from the word before in their text, keys of both words as one)."""
-    gap = starts[1:] - ends[:-1]
-    marks = np.concatenate([[0], np.cumsum(data == 0x27)])
-    joined = ((gap == 1) | (gap == 3)) & (marks[starts[1:]] - marks[ends[:-1]] == gap)
-    row = words.rows_of(bounds)
-    at = np.flatnonzero(joined & (row[1:] == row[:-1])) + 1
-    return at, words.mix(found[at - 1] + words.mix(found[at])) & ~np.uint64(1)
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, bounds = words.spans(data, offsets, words.ALNUM)
-    return starts, ends, bounds, words.hashes(data, starts, ends, True) & ~np.uint64(1)
-
-
-def _stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions of the words that are longer, keys of their first bytes)."""
-    for size in STEMS:
-        at = np.flatnonzero(ends - starts > size)
-        yield at, words.hashes(data, starts[at], starts[at] + size, True) | np.uint64(1)
+def _aimed(seeds: Lexicon, text: clause_grammar.Text) -> np.ndarray:
+    """The words in clauses with a target."""
+    place, kind, _ = seeds.match(text, range(0))
+    every = np.arange(len(text.keys))
+    return every[np.isin(text.clause(every), text.clause(place[kind == TARGET]))]
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rows with it by label) of a task's labelled texts."""
+    """(key, rows with it by half and label) of a task's labelled texts; keys of words, stems, and words in addressed clauses."""
+    seeds = clause_grammar.lexicon()
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False)
+        cell = 2 * batch.column(2).to_numpy(zero_copy_only=False) + batch.column(1).to_numpy(zero_copy_only=False)
         for low, _, data, offsets in words.chunks(batch.column(0)):
-            data = _plain(data)
-            starts, ends, bounds, found = _words(data, offsets)
-            row = words.rows_of(bounds)
-            stems = list(_stems(data, starts, ends))
-            keys = np.concatenate([found, *[k for _, k in stems]])
-            rows = np.concatenate([row, *[row[at] for at, _ in stems]])
+            text = clause_grammar.read(data, offsets)
+            row = words.rows_of(text.bounds)
+            stems, aimed = list(text.stems(STEMS)), _aimed(seeds, text)
+            keys = np.concatenate([text.keys, *[k for _, k in stems], text.keys[aimed] | clause_grammar.AIMED])
+            rows = np.concatenate([row, *[row[at] for at, _ in stems], row[aimed]])
             order = np.lexsort((rows, keys))
             keys, rows = keys[order], rows[order]
             first = np.ones(len(keys), bool)
             first[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-            keys, toxic = keys[first], label[low + rows[first]]
+            keys, own = keys[first], cell[low + rows[first]]
             if not len(keys):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            ones = np.add.reduceat(toxic, begin)
-            total = np.diff(np.append(begin, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[begin].view(np.int64)), pa.array(total - ones, pa.int64()), pa.array(ones, pa.int64())], ["key", "clean", "toxic"])
-
-
-def _seed_entries() -> dict[int, tuple[int, float]]:
-    out = {}
-    for kind, text in SEEDS.items():
-        # a contraction as it stands, two words and an apostrophe, and written as one word
-        for own in text.split():
-            data, offsets = words.buffer(pa.array([own]))
-            starts, ends, bounds, found = _words(data, offsets)
-            if len(found) > 1:
-                found = np.append(_contracted(data, starts, ends, bounds, found)[1], _words(*words.buffer(pa.array([own.replace("'", "")])))[3])
-            for key in found.tolist():
-                out[key] = (kind, SEED_WEIGHT)
+            counts = [pa.array(np.add.reduceat((own == k).astype(np.int64), begin)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[begin].view(np.int64)), *counts], ["key", *CELLS])
+
+
+#: Rows by half and label.
+CELLS = ["clean0", "toxic0", "clean1", "toxic1"]
+
+
+def _odds(clean: Column, toxic: Column, all_clean: int, all_toxic: int) -> Column:
+    """Log odds less one standard error, null for entries that do not pass."""
+    odds = F.log((toxic + 0.5) / (all_toxic + 1)) - F.log((clean + 0.5) / (all_clean + 1)) - F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return F.when((toxic >= SUPPORT) & (odds >= ODDS), odds)
+
+
+def _entries(found: dict[int, float]) -> dict[int, tuple[int, float]]:
+    """Class and weight of all that pass: words and stems are insults; words that pass only where somebody is addressed, threats."""
+    out = {key: (INSULT, odds) for key, odds in found.items() if key & 3 != int(clause_grammar.AIMED)}
+    for key, odds in found.items():
+        if key & 3 == int(clause_grammar.AIMED):
+            out.setdefault(key & ~3, (THREAT, odds))
     return out
 
 
-def learn_lexicon(rows: DataFrame) -> Grammar:
-    """The grammar's lexicon from (text, label): seeds, and words and stems that toxic rows have far more often."""
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    entries = _seed_entries()
-    if clean and toxic:
-        seen = rows.select("text", "label").mapInArrow(words.frugal(_seen), "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) - F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-        best = seen.where(F.col("toxic") >= SUPPORT).select("key", "toxic", odds.alias("odds")).where(F.col("odds") >= ODDS)
-        for r in best.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "key").limit(LEXICON).collect():
-            entries[r["key"] % 2**64] = (INSULT, r["odds"])
-    keys = np.array(sorted(entries), np.uint64)
-    kinds, weights = zip(*[entries[k] for k in keys.tolist()], strict=True)
-    return Grammar(keys, np.array(kinds), np.array(weights), np.zeros(5))
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """Lexicons from (text, label, half): from rows of half 0, of half 1, and of both; one pass over the texts.
+
+    Every entry that passes is taken. They come from a sample of bounded rows, each with SUPPORT toxic ones.
+    """
+    sizes = [0] * 4
+    for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect():
+        sizes[2 * r["half"] + r["label"]] = r["n"]
+    seen = rows.select("text", "label", "half").mapInArrow(words.frugal(_seen), "key long, " + ", ".join(f"{c} long" for c in CELLS)).groupBy("key").agg(*[F.sum(c).alias(c) for c in CELLS])
+    c = [F.col(x) for x in CELLS]
+    cuts = [(c[0], c[1], sizes[0], sizes[1]), (c[2], c[3], sizes[2], sizes[3]), (c[0] + c[2], c[1] + c[3], sizes[0] + sizes[2], sizes[1] + sizes[3])]
+    best = seen.select("key", *[_odds(*cut).alias(f"odds{k}") for k, cut in enumerate(cuts)]).where("coalesce(odds0, odds1, odds2) is not null")
+    found = [(r["key"] % 2**64, r) for r in best.collect()]
+    learnt = [{key: r[f"odds{k}"] for key, r in found if r[f"odds{k}"] is not None} if cut[2] and cut[3] else {} for k, cut in enumerate(cuts)]
+    return [clause_grammar.lexicon(_entries(x)) for x in learnt]
 
 
 def clause_weight(symbols: list[tuple[int, int, float]]) -> float:
-    """The automaton's weight of a clause, read as (place, class, weight) from left to right."""
-    denied_until, reported, addressed, total = -1, False, any(kind == TARGET for _, kind, _ in symbols), 0.0
-    for place, kind, weight in symbols:
-        if kind == NEGATION:
-            denied_until = place + REACH
-        elif kind == REPORT:
-            reported = True
-        elif kind == INSULT or (kind == THREAT and addressed):
-            total += weight * (ADDRESSED if addressed else 1.0) * (DENIED if place <= denied_until else 1.0) * (REPORTED if reported else 1.0)
-    return total
-
-
-def features(grammar: Grammar, column: pa.Array) -> np.ndarray:
+    """The weight of a clause of (place, class, weight) from left to right."""
+    place, kind, weight = (np.array(x) for x in zip(*symbols, strict=True))
+    return float(clause_grammar.CLAUSE.weigh(np.array([0, len(place)]), place, kind, weight)[0])
+
+
+def features(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
     """For each text: 1, the weight of its clauses, that of the heaviest one, how many match, and its words, as logarithms."""
     out = np.zeros((len(column), 5))
     out[:, 0] = 1
     for low, high, data, offsets in words.chunks(column):
-        data = _plain(data)
-        starts, ends, bounds, found = _words(data, offsets)
-        out[low:high, 4] = np.diff(bounds)
-        entry = grammar.entries(found)
-        for at, keys in _stems(data, starts, ends):
-            stem = grammar.entries(keys)
-            better = (stem >= 0) & ((entry[at] < 0) | (grammar.weights[stem] > np.where(entry[at] >= 0, grammar.weights[entry[at]], -np.inf)))
-            entry[at[better]] = stem[better]
-        if len(found) > 1:
-            at, keys = _contracted(data, starts, ends, bounds, found)
-            both = grammar.entries(keys)
-            at, both = at[both >= 0], both[both >= 0]
-            entry[at - 1] = -1  # the two count as one, at the place of the second
-            entry[at] = both
-        match = np.flatnonzero(entry >= 0)
-        if not len(match):
+        text = clause_grammar.read(data, offsets)
+        out[low:high, 4] = np.diff(text.bounds)
+        place, kind, weight = lexicon.match(text, STEMS)
+        if not len(place):
+            continue
+        clause = text.clause(place)
+        begin = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1]]))
+        # clauses without an insult or a threat weigh nothing
+        heavy = np.repeat(np.logical_or.reduceat((kind == INSULT) | (kind == THREAT), begin), np.diff(np.append(begin, len(place))))
+        place, kind, weight, clause = place[heavy], kind[heavy], weight[heavy], clause[heavy]
+        if not len(place):
             continue
-        clause = np.cumsum(_BREAK[data])[starts[match]]
-        row = np.searchsorted(bounds, match, "right") - 1
-        kind, weight = grammar.kinds[entry[match]], grammar.weights[entry[match]]
-        heavy = np.zeros(high - low, bool)
-        heavy[row[(kind == INSULT) | (kind == THREAT)]] = True
-        live = heavy[row]
-        clauses: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-        for r, c, place, k, w in zip(row[live].tolist(), clause[live].tolist(), match[live].tolist(), kind[live].tolist(), weight[live].tolist(), strict=True):
-            clauses.setdefault((r, c), []).append((place, k, w))
-        for (r, _), symbols in clauses.items():
-            weight = clause_weight(symbols)
-            own = out[low + r]
-            own[1] += weight
-            own[2] = max(own[2], weight)
-            own[3] += weight > 0
+        begin = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1]]))
+        total = clause_grammar.CLAUSE.weigh(np.append(begin, len(place)), place, kind, weight)
+        row = low + np.searchsorted(text.bounds, place[begin], "right") - 1
+        np.add.at(out[:, 1], row, total)
+        np.maximum.at(out[:, 2], row, total)
+        np.add.at(out[:, 3], row, total > 0)
     out[:, 1:] = np.log1p(out[:, 1:])
     return out
 
@@ -219,32 +150,34 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> n
     return b
 
 
-def _measured(grammars: list[Grammar]):
-    """What each row is by the grammar of the other half."""
+def _measured(lexicons: list[Lexicon]):
+    """What each row is by the lexicon of the other half."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             half = batch.column(2).to_numpy(zero_copy_only=False)
-            x = np.where((half == 0)[:, None], features(grammars[1], batch.column(0)), features(grammars[0], batch.column(0)))
+            x = np.where((half == 0)[:, None], features(lexicons[1], batch.column(0)), features(lexicons[0], batch.column(0)))
             yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in (1, 2, 3, 4)], batch.column(1)], ["a", "b", "c", "d", "label"])
 
     return measure
 
 
 def learn(rows: DataFrame) -> Grammar:
-    """A grammar from (text, label, half): the lexicon from all rows, the coefficients from rows that each half's lexicon has not seen."""
-    halves = [learn_lexicon(rows.where(F.col("half") == half)) for half in (0, 1)]
-    seen = rows.select("text", "label", "half").mapInArrow(words.frugal(_measured(halves)), "a double, b double, c double, d double, label int").toPandas()  # four numbers a row of the bounded sample
+    """A grammar from (text, label, half): the lexicon from all rows, the coefficients from rows that each half's lexicon has not seen.
+
+    The rows, a bounded sample, are stored once, as they are read for the lexicons and for the coefficients.
+    """
+    rows = scratch.stored(rows.select("text", "label", "half"), "labelled")
+    first, second, both = learn_lexicons(rows)
+    seen = rows.mapInArrow(words.frugal(_measured([first, second])), "a double, b double, c double, d double, label int").toPandas()  # four numbers a row of the bounded sample
     x = np.column_stack([np.ones(len(seen)), seen[["a", "b", "c", "d"]].to_numpy(float)])
-    grammar = learn_lexicon(rows)
-    grammar.coefficients = fit(x, seen["label"].to_numpy(float))
-    return grammar
+    return Grammar(both, fit(x, seen["label"].to_numpy(float)))
 
 
 def _scored(grammar: Grammar):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.clip(features(grammar, batch.column(1)) @ grammar.coefficients, -30, 30)
+            z = np.clip(features(grammar.lexicon, batch.column(1)) @ grammar.coefficients, -30, 30)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], ["key", "score"])
 
     return score

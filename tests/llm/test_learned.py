@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from ledgerloom.llm import labelled, language_id, mixing, quality_classifier, scratch, toxicity, words
+from ledgerloom.llm import clause_grammar, labelled, language_id, mixing, quality_classifier, scratch, toxicity, words
 from ledgerloom.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -52,23 +52,20 @@ def test_classifiers_take_odd_rows(spark, odd_docs, no_docs, odd_labels):
 
 
 def test_clause_automaton():
-    insult, target, negation, report = [(k, kind, 1.0) for k, kind in enumerate((toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT))]
+    insult, target, negation, report = [(k, kind, 1.0) for k, kind in enumerate((clause_grammar.INSULT, clause_grammar.TARGET, clause_grammar.NEGATION, clause_grammar.REPORT))]
     plain = toxicity.clause_weight([insult])
     at = lambda place, x: (place, *x[1:])
     assert toxicity.clause_weight([at(0, target), at(2, insult)]) > plain
     assert toxicity.clause_weight([at(0, negation), at(2, insult)]) < plain
     assert toxicity.clause_weight([at(0, negation), at(9, insult)]) == plain
     assert toxicity.clause_weight([at(0, report), at(2, insult)]) < plain
+    assert toxicity.clause_weight([at(0, insult), at(2, report)]) == toxicity.clause_weight([at(0, report), at(2, insult)])
     assert toxicity.clause_weight([(0, toxicity.THREAT, 1.0)]) == 0 < toxicity.clause_weight([(0, toxicity.THREAT, 1.0), at(1, target)])
 
 
 def test_contractions_deny_in_raw_text():
-    entries = toxicity._seed_entries()
-    keys = np.array(sorted(entries), np.uint64)
-    kinds, weights = zip(*[entries[k] for k in keys.tolist()], strict=True)
-    grammar = toxicity.Grammar(keys, np.array(kinds), np.array(weights), np.zeros(5))
     texts = ["you are an idiot", "you are not an idiot", "you aren't an idiot", "you aren\u2019t an idiot", "you AREN'T an idiot", "you arent an idiot", "you aren 't an idiot", "l'idiot", "l\u2019idiot", "idiot", "you aren'", "t idiot"]
-    weight = toxicity.features(grammar, pa.array(texts))[:, 1].tolist()
+    weight = toxicity.features(clause_grammar.lexicon(), pa.array(texts))[:, 1].tolist()
     stated, denied = weight[:2]
     assert denied < stated and weight[2:6] == [denied] * 4 and weight[6] == stated
     assert weight[7] == weight[8] == weight[9] == weight[11] > 0 == weight[10]
