@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.hierarchy import leaves_by_class
+from ledgerloom.operators.hierarchy import ancestor_paths, leaves_by_class
 
 
 def used_plan(df):
@@ -21,7 +21,7 @@ def chart(spark, documents):
     return spark.range(documents).select(F.col("id").alias("doc_id"), F.explode(lines).alias("c")).select("doc_id", "c.*")
 
 
-@pytest.mark.parametrize("operator", [leaves_by_class])
+@pytest.mark.parametrize("operator", [leaves_by_class, ancestor_paths])
 def test_accounts_are_not_broadcast(spark, operator):
     plan, rows = used_plan(operator(chart(spark, 3), ["doc_id"]))
     assert sorted({r["classificacao"] for r in rows}) == ["1.1.1", "1.2"] and len(rows) == 6
