@@ -11,6 +11,7 @@ from ledgerloom.operators import reading, tree
 from ledgerloom.operators.hierarchy import ancestor_paths, leaves_by_class
 from ledgerloom.operators.layouts import KNOWN_LAYOUTS
 from ledgerloom.plans.trial_balance import build_trees, classify_documents, parse_documents, read_trial_balance
+from ledgerloom.plans.upload import prepare
 
 
 def used_plan(df):
@@ -80,3 +81,15 @@ def test_the_period_is_searched_once(spark):
     plan, rows = used_plan(texts.select(period_end(F.col("texto"), F.lit("2000-01-01")).alias("fim"), period_end(F.col("texto")).alias("sem")))
     assert [tuple(r) for r in rows] == [("2025-03-31", "2025-03-31"), *[("2000-01-01", None)] * 3]
     assert plan.count("regexp_extract") == 2
+
+
+def test_upload_summaries_hash_buffers_of_fixed_size(spark):
+    text = "codigo;descricao;valor;filial\n1;Compra de aço;10,00;\n2;Conta de luz;x;norte\n"
+    files = spark.createDataFrame([(1, "a.csv", text), (1, "b.csv", "descricao;valor\nAluguel;5,00\n"), (None, "c.csv", text), (2, "d.csv", "descricao;valor\n;\n")], "doc_id int, nome string, content string")
+    found = prepare(files.withColumn("content", F.encode("content", "UTF-8")))
+    plan, rows = used_plan(found.estatisticas)
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    told = {r.doc_id: (r.linhas_validas, r.linhas_invalidas, r.categorias_identificadas, r.valores_ausentes, float(r.total_gastos_fornecedores)) for r in rows}
+    assert told == {1: (2, 1, ["ALUGUEL", "ENERGIA", "FORNECEDORES"], 3, 10.0), None: (1, 1, ["ENERGIA", "FORNECEDORES"], 2, 10.0), 2: (0, 0, [], 0, 0.0)}
+    counts = {r.doc_id: (r.numero_registros, r.numero_colunas) for r in found.metadados.collect()}
+    assert counts == {1: (3, 5), None: (2, 5), 2: (0, 0)}
